@@ -19,11 +19,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowsieve.operators.joins import broadcast_if_small
+
 # Edge tables (one row per group) above this size are shuffle-joined instead of broadcast.
 MAX_BROADCAST_GROUPS = 10_000
 # An edge cell with no more rows than this is ranked directly; deeper levels are skipped.
 DIRECT_RANK_ROWS = 200_000
 
+# Cell offsets of ``rank_in_group``: 65,536 cells for each of a few classes.
+MAX_OFFSET_ROWS = 600_000
+
 _HASH_LEVEL_BITS = 20
 
 
@@ -163,7 +168,7 @@ def rank_in_group(df: DataFrame, *, group: Sequence[str], hash60: Column, tie: S
     )
     inside = Window.partitionBy(*group, "__cell").orderBy("__h", *tie)
     return (
-        base.join(offsets, [*group, "__cell"])
+        base.join(broadcast_if_small(offsets, MAX_OFFSET_ROWS), [*group, "__cell"])
         .withColumn(out, (F.col("__offset") + F.row_number().over(inside) - 1).cast("bigint"))
         .drop("__h", "__cell", "__offset")
     )
@@ -194,3 +199,94 @@ def running_totals(df: DataFrame, *, order_by: str, sums: Sequence[str], cells:
     return joined.select(
         *df.columns, *[(F.col(f"__o_{c}") + F.sum(c).over(inside)).alias(f"cum_{c}") for c in sums]
     )
+
+
+class Cutoffs:
+    """Per-group selection limits: the ``quota`` smallest (hash, key) pairs of each group.
+
+    Membership is a row-local test against literals, so selecting needs no join, no sort and
+    no second scan.  Keys must be unique inside a group.
+    """
+
+    def __init__(self, group: str | None, limits: dict):
+        self._group = group
+        self._limits = limits
+
+    def test(self, hash60: Column, key: Column) -> Column:
+        chosen = F.lit(False)
+        for value, (cut, last) in self._limits.items():
+            if cut is None:
+                inside = F.lit(True)
+            elif last is None:
+                inside = hash60 < cut
+            else:
+                inside = (hash60 < cut) | ((hash60 == cut) & (key <= F.lit(last)))
+            if self._group is None:
+                return inside
+            chosen = F.when(F.col(self._group).eqNullSafe(F.lit(value)), inside).otherwise(chosen)
+        return chosen
+
+
+def quota_cutoffs(df: DataFrame, *, hash60: Column, key: Column, quota: int | dict, group: str | None = None) -> Cutoffs:
+    """Find the limits that keep exactly ``quota`` rows (per group value, if grouped).
+
+    One aggregate counts rows per hash cell; its running total names the cell where each
+    quota ends, and only that cell (about a millionth of the rows) is ranked.
+    """
+    keys = [group] if group else []
+    cell_bits = 60 - _HASH_LEVEL_BITS
+    base = df.select(*keys, hash60.alias("__h"), key.alias("__k"))
+    counts = base.groupBy(*keys, F.shiftright("__h", cell_bits).alias("__cell")).agg(F.count(F.lit(1)).alias("n"))
+    if isinstance(quota, dict):
+        wanted = F.lit(0).cast("bigint")
+        for value, amount in quota.items():
+            wanted = F.when(F.col(group).eqNullSafe(F.lit(value)), F.lit(int(amount)).cast("bigint")).otherwise(wanted)
+    else:
+        wanted = F.lit(int(quota)).cast("bigint")
+    running = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    edge = (
+        counts.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
+        .withColumn("quota", wanted)
+        .groupBy(*keys)
+        .agg(
+            F.min(
+                F.when(
+                    F.col("before") + F.col("n") > F.col("quota"),
+                    F.struct("__cell", (F.col("quota") - F.col("before")).alias("left")),
+                )
+            ).alias("e")
+        )
+    )
+    rows = edge.limit(MAX_BROADCAST_GROUPS + 1).collect()
+    if len(rows) > MAX_BROADCAST_GROUPS:
+        raise ValueError("too many groups for literal cutoffs; use prefix_allocate")
+    limits: dict = {}
+    inside = F.lit(False)
+    at_rank = F.lit(None).cast("bigint")
+    open_groups = []
+    for row in rows:
+        value = row[group] if group else None
+        if row["e"] is None:
+            limits[value] = (None, None)
+            continue
+        cell, left = row["e"]["__cell"], max(0, row["e"]["left"])
+        if left == 0:
+            limits[value] = (cell << cell_bits, None)
+            continue
+        member = F.col("__h").between(F.lit(cell << cell_bits), F.lit(((cell + 1) << cell_bits) - 1))
+        mine = F.col(group).eqNullSafe(F.lit(value)) if group else F.lit(True)
+        inside = inside | (mine & member)
+        at_rank = F.when(mine, F.lit(left)).otherwise(at_rank)
+        open_groups.append(value)
+    if open_groups:
+        order = Window.partitionBy(*keys).orderBy("__h", "__k")
+        last = (
+            base.where(inside)
+            .withColumn("r", F.row_number().over(order))
+            .where(F.col("r") == at_rank)
+            .select(*keys, "__h", "__k")
+            .collect()
+        )
+        for row in last:
+            limits[row[group] if group else None] = (row["__h"], row["__k"])
+    return Cutoffs(group, limits)

@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """A broadcast copy when ``df`` has at most ``max_rows`` rows, else ``df`` itself.
+
+    The limit bounds what reaches the driver; past it the join shuffles and adaptive
+    execution splits skewed partitions.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,

@@ -181,7 +181,8 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records as JSON text, one per row, with some lines cut short.
 
     Lines of records with ``k = 13`` lose their last five characters, so they are not valid
-    JSON; lines with ``k = 14`` are arrays, valid JSON but not objects.
+    JSON; lines with ``k = 14`` are arrays, valid JSON but not objects; lines with ``k = 15``
+    are followed by a blank line once written to a file.
     """
     records = event_records(spark, sf_dir)
     k = F.col("flow.pkts_toserver")
@@ -207,6 +208,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(
         F.when(k == 13, body.substr(F.lit(1), F.length(body) - 5))
         .when(k == 14, F.concat(F.lit("["), body, F.lit("]")))
+        .when(k == 15, F.concat(body, F.lit("\n   ")))
         .otherwise(body)
         .alias("value")
     )
