@@ -287,7 +287,7 @@ QUERIES = [
         f"WITH {BASE} SELECT row_id, CASE WHEN {_there('tls')} THEN coalesce(tls_ja3, 'none') ELSE 'none' END AS ja3, "
         f"CASE WHEN {_there('ssh')} THEN coalesce(ssh_client, 'none') ELSE 'none' END AS client FROM base",
     ),
-    Query("f7_rates", _pick(_RATE_SQL, 3), _select(_RATE_SQL, 3)),
+    Query("f7_rates", _pick(_RATE_SQL, 7), _select(_RATE_SQL, 7)),
     Query("f8_direction_ratios", _pick(_RATIO_SQL), _select(_RATIO_SQL)),
     Query("f9_log_transforms", _pick(_LOG_SQL), _select(_LOG_SQL)),
     Query(
@@ -325,7 +325,7 @@ QUERIES = [
     ),
     *[Query(f"f17_{app}_hashes", _pick(_HASHED[app], None, app), _select(_HASHED[app], None)) for app in X.APPS],
     *[Query(f"f18_{app}_indicators", _pick(_INDICATORS[app], None, app), _select(_INDICATORS[app], None)) for app in X.APPS],
-    Query("f19_interactions", _pick(_INTERACTION_SQL, 2), _select(_INTERACTION_SQL, 2)),
+    Query("f19_interactions", _pick(_INTERACTION_SQL, 4), _select(_INTERACTION_SQL, 4)),
     Query(
         "f20_row_statistics",
         _row_stats,

@@ -8,7 +8,7 @@ from flowsieve.functions import labels
 from flowsieve.operators import quality, routing
 from flowsieve.plans.catalogue import Query
 from flowsieve.plans.catalogue.routing_queries import _BAD, ROUTED, routed_events
-from flowsieve.plans.stand_in import event_cte, event_lines, event_records, flow_cte, flow_table
+from flowsieve.plans.stand_in import event_cte, event_records, flow_cte, flow_table, write_event_lines
 from flowsieve.sources import event_log
 from flowsieve.sources.schemas import EVENT_LOG, EVENT_REQUIRED_KEYS, DatasetType
 
@@ -18,7 +18,7 @@ LOOSE = DatasetType("loose", "csv", "Label", columns=("l_quantity", "Label"))
 
 
 def _parsed(spark, sf_dir):
-    return event_log.parse_lines(event_lines(spark, sf_dir))
+    return event_log.parse_lines(event_log.read_lines(spark, write_event_lines(spark, sf_dir)))
 
 
 def _bad():

@@ -11,12 +11,12 @@ from flowsieve.operators.evaluation import confusion_counts
 from flowsieve.plans.catalogue import Query
 from flowsieve.plans.stand_in import (
     event_cte,
-    event_lines,
     flow_cte,
     flow_table,
     prediction_cte,
     prediction_table,
     read_table,
+    write_event_lines,
 )
 from flowsieve.session import scratch_path
 from flowsieve.sources import event_log, flow_table as flow_source, tables
@@ -41,14 +41,8 @@ def _csv_scan(spark, sf_dir):
     return df.withColumn("rate", F.round("rate", 9))
 
 
-def _written_lines(spark, sf_dir, compression="none"):
-    path = scratch_path(spark, "event-log")
-    event_lines(spark, sf_dir).write.option("compression", compression).text(path)
-    return path
-
-
 def _log_scan(spark, sf_dir):
-    events = event_log.read_event_log(spark, _written_lines(spark, sf_dir, "gzip"), partitions=8)
+    events = event_log.read_event_log(spark, write_event_lines(spark, sf_dir, "gzip"), partitions=8)
     return events.select(
         lenient_int("flow_id").alias("row_id"),
         "event_type",
@@ -64,11 +58,11 @@ def _log_scan(spark, sf_dir):
 
 
 def _line_counts(spark, sf_dir):
-    return event_log.line_counts(event_log.read_lines(spark, _written_lines(spark, sf_dir)))
+    return event_log.line_counts(event_log.read_lines(spark, write_event_lines(spark, sf_dir)))
 
 
 def _quarantine(spark, sf_dir):
-    parsed = event_log.parse_lines(event_log.read_lines(spark, _written_lines(spark, sf_dir)))
+    parsed = event_log.parse_lines(event_log.read_lines(spark, write_event_lines(spark, sf_dir)))
     path = scratch_path(spark, "malformed")
     tables.write_malformed(event_log.malformed_lines(parsed), path)
     kept = spark.read.parquet(path)
@@ -76,7 +70,7 @@ def _quarantine(spark, sf_dir):
 
 
 def _flatten(spark, sf_dir):
-    flat = event_log.flatten_one_level(event_log.typed_events(event_log.parse_lines(event_lines(spark, sf_dir))))
+    flat = event_log.flatten_one_level(event_log.read_event_log(spark, write_event_lines(spark, sf_dir)))
     return flat.select(
         lenient_int("flow_id").alias("row_id"),
         F.col("`flow.pkts_toserver`").cast("bigint").alias("flow_pkts_toserver"),

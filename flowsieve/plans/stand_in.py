@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.session import prepare
+from flowsieve.session import prepare, scratch_path
 
 # (name, expression) over the events table with ``k`` already taken out of ``props``.
 EVENT_COLUMNS = (
@@ -214,6 +214,13 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_event_lines(spark: SparkSession, sf_dir: str, compression: str = "none") -> str:
+    """The lines as text files in the shared folder; returns their path."""
+    path = scratch_path(spark, "event-log")
+    event_lines(spark, sf_dir).write.option("compression", compression).text(path)
+    return path
+
+
 # Numeric features, label and unique key of the flow stand-in.
 FLOW_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "price_per_unit", "ship_month")
 FLOW_COLUMNS = (

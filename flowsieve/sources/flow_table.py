@@ -20,12 +20,12 @@ _PROBE_BYTES_ROWS = 1_000
 
 
 def detect_encoding(spark: SparkSession, path: str, probe_rows: int = _PROBE_BYTES_ROWS) -> str:
-    """First encoding that reads the start of the file without replacement characters.
+    """First encoding that reads the start of the file with valid bytes.
 
     Only the choice of decoder looks at a sample; the scan itself reads everything.
     """
     head = spark.read.text(path).limit(probe_rows)
-    broken = head.where(F.contains(F.col("value"), F.lit("�"))).limit(1).count()
+    broken = head.where(~F.is_valid_utf8("value")).limit(1).count()
     return CP1252 if broken else UTF8
 
 
