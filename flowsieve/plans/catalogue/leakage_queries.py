@@ -121,10 +121,11 @@ QUERIES = [
     Query(
         "g4_column_policy",
         _classified_values,
-        f"WITH {event_cte()} SELECT x.\"column\", x.reason, CASE x.\"column\" WHEN 'alert_category' THEN count(*) FILTER (alert_there) "
-        "WHEN 'src_ip' THEN count(*) FILTER (src_ip <> '') ELSE count(*) END AS present FROM ev, (VALUES ('Target_alert', "
-        "'direct_policy_drop'), ('alert_category', 'direct_policy_drop'), ('src_ip', 'direct_policy_drop'), ('event_type_h', "
-        "'direct_policy_drop'), ('proto_h', 'kept'), ('total_bytes', 'kept')) AS x(\"column\", reason) GROUP BY ALL",
+        f"WITH {event_cte()}, c AS (SELECT count(*) AS n, count(*) FILTER (alert_there) AS alerts, count(*) FILTER (src_ip <> '') AS "
+        "src FROM ev) SELECT x.\"column\", x.reason, CASE x.\"column\" WHEN 'alert_category' THEN alerts WHEN 'src_ip' THEN src "
+        "ELSE n END AS present FROM c, (VALUES ('Target_alert', 'direct_policy_drop'), ('alert_category', 'direct_policy_drop'), "
+        "('src_ip', 'direct_policy_drop'), ('event_type_h', 'direct_policy_drop'), ('proto_h', 'kept'), ('total_bytes', 'kept')) "
+        "AS x(\"column\", reason)",
     ),
     Query("g8_modeling_projection", _modeling),
     Query("g10_target_correlation", _correlation, f"WITH {flow_cte()} {_corr_sql(FLOW_FEATURES)}"),
