@@ -185,7 +185,7 @@ QUERIES = [
         "THEN 'FAILED' ELSE status END AS status, count(*) AS runs FROM runs GROUP BY 1",
     ),
     Query(
-        "m5_runs_per_pipeline",
+        "m5_runs_per_method",
         _per_pipeline,
         f"WITH {run_cte()} SELECT 'all' AS scope, pipeline_id, count(*) AS runs FROM runs GROUP BY 2 UNION ALL SELECT 'flow', pipeline_id, "
         "count(*) FROM runs WHERE pipeline_id LIKE 'flow.%' GROUP BY 2",

@@ -12,10 +12,11 @@ from flowsieve.functions.hashing import unit_interval
 from flowsieve.operators import evaluation as E
 from flowsieve.operators import models as M
 from flowsieve.operators import sampling as S
-from flowsieve.plans import registry
+from flowsieve.plans import event_job, registry
 from flowsieve.plans.catalogue import Query
 from flowsieve.plans.catalogue.sampling_queries import SPLIT_CTE, rank_sql, unit_sql
-from flowsieve.plans.stand_in import FLOW_FEATURES, flow_cte, flow_table, read_table
+from flowsieve.plans.catalogue.window_queries import DAY
+from flowsieve.plans.stand_in import FLOW_FEATURES, event_records, flow_cte, flow_table, read_table
 
 LABEL, KEY = "Label", "row_key"
 FEATURES = list(FLOW_FEATURES)
@@ -105,6 +106,31 @@ def _registered(spark, sf_dir):
     return result.metrics
 
 
+EVENT_JOB = event_job.EventJobSettings(
+    probe=DAY,
+    train_rows=1_000_000,
+    top_features=8,
+    components=4,
+    methods=("MI",),
+    model_names=("DT", "LSVC"),
+    model_sizes={"DT": {"depth": 4}, "LSVC": {"max_iter": 5}},
+    selection_trees=4,
+)
+
+
+def _event_features(spark, sf_dir):
+    """Labels, split and class of every event routed to one application."""
+    rows = event_job.labelled_features(event_records(spark, sf_dir), EVENT_JOB)
+    return rows.groupBy("split", "label_source", "Target_refined").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("total_bytes").alias("total_bytes")
+    )
+
+
+def _event_job(spark, sf_dir):
+    out = event_job.EventMethod("event.tree", "tree", "DT", {"max_depth": 4}).run(event_records(spark, sf_dir), settings=EVENT_JOB)
+    return out.results.select("App", "Method", "Model", *[f"natural_holdout_{m}" for m in E.METRICS])
+
+
 _KNN_SQL = f"""WITH v AS (SELECT vec_id, embedding, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS label,
   {unit_sql(42, 'CAST(vec_id AS VARCHAR)')} AS u FROM embeddings),
 p AS (SELECT t.vec_id, r.label, r.vec_id AS rid, round(sqrt(list_sum(list_transform(list_zip(t.embedding, r.embedding),
@@ -138,4 +164,6 @@ QUERIES = [
     Query("j19_learning_curve", _curve),
     Query("j26_feature_importance", _importance),
     Query("n2_registered_method", _registered),
+    Query("n4_event_feature_table", _event_features),
+    Query("n4_event_job_results", _event_job),
 ]

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from flowsieve.operators import evaluation, models, sampling, selection
 from flowsieve.operators.features import FLOW_DROPPED, prepare_flow_table
+from flowsieve.plans.event_job import EVENT_METHODS
 
-FLOW, EVENT = "flow_table", "event_log"
+FLOW = "flow_table"
 
 # Bounds of the parameters a user may change, and those always locked.
 PARAM_BOUNDS: dict[str, tuple[float, float]] = {
@@ -22,6 +23,7 @@ PARAM_BOUNDS: dict[str, tuple[float, float]] = {
     "max_iter": (1, 20_000),
     "random_state": (0, 100_000),
     "max_depth": (1, 30),
+    "n_rounds": (1, 500),
 }
 PROTECTED = (
     "models",
@@ -229,6 +231,7 @@ def _fit_knn(train, test, inputs, label, key, k):
 METHODS: dict[str, Any] = {
     m.id: m
     for m in (
+        *EVENT_METHODS,
         FlowMethod("flow.forest", "Random forest, balanced", "RFC", {"n_estimators": 100, "max_depth": 16, "random_state": 42}, balanced=True, scaled=True),
         FlowMethod("flow.tree", "Decision tree", "DT", {"max_depth": 30, "random_state": 42}),
         FlowMethod("flow.knn", "k nearest neighbours, balanced", "KNN", {"n_neighbors": 5, "random_state": 42}, balanced=True, scaled=True),
