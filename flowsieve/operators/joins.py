@@ -37,10 +37,13 @@ def lookup_join(
     ``weight`` counts the fact rows per key, so hot keys are known before the join.  The
     ``max_hot_keys`` heaviest of them (a bounded, broadcast table) are split over several
     partitions: fact rows take a salt from a hash of ``spread_by`` and the lookup row is
-    repeated per salt.  All other keys use salt 0.  Fact rows with a null key match nothing
-    and are spread evenly as well.
+    repeated per salt.  All other keys use salt 0, and without any hot key the join is a
+    plain one.  Fact rows with a null key match nothing and are spread evenly as well.
     """
     keys = list(keys)
+    spread = F.xxhash64(*spread_by)
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    null_salt = F.when(no_key, F.pmod(spread, F.lit(max_salts)).cast("int"))
     salts = F.least(F.lit(max_salts), F.ceil(F.col(weight) / F.lit(hot_rows))).cast("int")
     hot = (
         lookup.where(F.col(weight) > hot_rows)
@@ -48,22 +51,15 @@ def lookup_join(
         .limit(max_hot_keys)
         .select(*keys, salts.alias("__salts"))
     )
-    spread = F.xxhash64(*spread_by)
-    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    left = (
-        facts.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "__salt",
-            F.when(no_key, F.pmod(spread, F.lit(max_salts)))
-            .when(F.col("__salts").isNull(), F.lit(0))
-            .otherwise(F.pmod(spread, F.col("__salts")))
-            .cast("int"),
-        )
-        .drop("__salts")
+    found = hot.collect()
+    if not found:
+        left = facts.withColumn("__salt", F.coalesce(null_salt, F.lit(0)))
+        return left.join(lookup.withColumn("__salt", F.lit(0)), [*keys, "__salt"], "left").drop("__salt")
+    hot = F.broadcast(facts.sparkSession.createDataFrame(found, hot.schema))
+    left = facts.join(hot, keys, "left").withColumn(
+        "__salt", F.coalesce(null_salt, F.pmod(spread, F.col("__salts")).cast("int"), F.lit(0))
     )
-    right = (
-        lookup.join(F.broadcast(hot), keys, "left")
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
-        .drop("__salts")
+    right = lookup.join(hot, keys, "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
     )
-    return left.join(right, [*keys, "__salt"], "left").drop("__salt")
+    return left.drop("__salts").join(right.drop("__salts"), [*keys, "__salt"], "left").drop("__salt")

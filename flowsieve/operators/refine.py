@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions import labels
 from flowsieve.functions.hashing import hash60
 from flowsieve.functions.scalars import window_floor
-from flowsieve.operators.allocate import hash_levels, prefix_allocate
-from flowsieve.operators.joins import lookup_join
+from flowsieve.operators.allocate import hash_levels, prefix_allocate, take_prefix
+from flowsieve.operators.joins import broadcast_if_small, lookup_join
 from flowsieve.operators.windows import KEYS, ProbeSettings
 from flowsieve.session import cut_lineage
 
@@ -221,71 +221,90 @@ def budget_report(allocated: DataFrame, records: DataFrame, budget: int) -> Data
     )
 
 
+def keyed_events(events: DataFrame, minutes: int) -> DataFrame:
+    """Events with the window key the lookups use."""
+    return events.withColumns({"window_start": window_floor(F.col("ts"), minutes), "src_ip": F.trim("src_ip")})
+
+
 def attach_windows(events: DataFrame, records: DataFrame, settings: ProbeSettings, row_key: str = "row_id") -> DataFrame:
     """Window behaviour columns on every event, with zero for events outside any window."""
-    keyed = events.withColumns(
-        {"window_start": window_floor(F.col("ts"), settings.window_minutes), "src_ip": F.trim("src_ip")}
-    )
     lookup = records.select(*KEYS, *PROBE_INT_COLUMNS, *PROBE_DOUBLE_COLUMNS)
+    keyed = keyed_events(events, settings.window_minutes)
     joined = lookup_join(keyed, lookup, KEYS, weight="event_count_window", spread_by=[row_key])
-    return joined.fillna(0, list(PROBE_INT_COLUMNS)).fillna(0.0, list(PROBE_DOUBLE_COLUMNS))
+    return _zero_outside(joined)
 
 
-def attach_keys(events: DataFrame, keys: DataFrame, row_key: str = "row_id") -> DataFrame:
-    """Refinement outcome on every event of a key; nulls elsewhere.
+def _zero_outside(joined: DataFrame) -> DataFrame:
+    return joined.fillna(0, list(PROBE_INT_COLUMNS)).fillna(0.0, list(PROBE_DOUBLE_COLUMNS))
 
-    ``events`` carry ``window_start``; an ``alloc`` column on the keys comes along.
-    """
-    wanted = [
+
+def _key_columns(keys: DataFrame) -> list[Column]:
+    columns = [
         F.col("Target_refined_for_no_alert").alias("key_target"),
         F.col("suspicious_by_probe").alias("key_suspicious"),
         F.col("label_source").alias("key_source"),
         F.col("refinement_reason").alias("key_reason"),
-        F.col("event_count_window").alias("key_events"),
     ]
-    if "alloc" in keys.columns:
-        wanted += ["alloc", F.col("no_alert_count_window").alias("key_no_alert")]
-    return lookup_join(events, keys.select(*KEYS, *wanted), KEYS, weight="key_events", spread_by=[row_key])
+    return columns + [F.col(c) for c in ("alloc", "cut") if c in keys.columns]
 
 
-def cap_conversions(events: DataFrame, keys: DataFrame, row_key: str = "row_id") -> DataFrame:
-    """Key outcome on every event, with each key limited to its ``alloc`` conversions.
+def attach_keys(events: DataFrame, keys: DataFrame, row_key: str = "row_id") -> DataFrame:
+    """Refinement outcome on every event of a key; nulls elsewhere.
+
+    ``events`` carry ``window_start``; ``alloc`` and ``cut`` come along if the keys have them.
+    """
+    lookup = keys.select(*KEYS, *_key_columns(keys), F.col("event_count_window").alias("key_events"))
+    return lookup_join(events, lookup, KEYS, weight="key_events", spread_by=[row_key]).drop("key_events")
+
 
-    Adds ``converted``: 1 converts, 0 was cut by the cap, null is not up for conversion.
-    Earliest rows of a key convert first.  A key whose allocation covers all its rows needs
-    no ordering and one without allocation converts nothing, so only keys where the budget
-    ran out part-way (one, for the greedy budget) are ranked, by milliseconds of their own
-    window and then by row hash.
+def _negative() -> Column:
+    return ~labels.base_positive(F.col("event_type"), F.col("alert"))
+
+
+def _conversion_order(row_key: str) -> Column:
+    """Earliest first, then row hash."""
+    return F.struct(
+        F.unix_millis("ts").alias("at"), hash60(F.col(row_key)).alias("hash"), F.col(row_key).alias("row")
+    )
+
+
+def with_cutoffs(events: DataFrame, keys: DataFrame, row_key: str = "row_id") -> DataFrame:
+    """Allocated keys plus ``cut``: the last row that converts, for keys covered in part.
+
+    Keys whose allocation covers all their rows, or none, need no ordering.  The greedy
+    budget leaves at most one key in between; only its rows are read and ranked, by
+    milliseconds of their own window and then by row hash.
     """
-    negative = ~labels.base_positive(F.col("event_type"), F.col("alert"))
-    contested = negative & F.coalesce(F.col("key_target") == 1, F.lit(False))
     partial = keys.where(
         (F.col("Target_refined_for_no_alert") == 1)
         & (F.col("alloc") > 0)
         & (F.col("alloc") < F.col("no_alert_count_window"))
     ).select(*KEYS, F.col("alloc").alias("quota"))
-    found = partial.limit(1_001).collect()
-    attached = attach_keys(events, keys, row_key)
-    split_key = (F.col("alloc") > 0) & (F.col("alloc") < F.col("key_no_alert"))
-    settled = F.when(contested, (F.col("alloc") > 0).cast("int"))
-    if not found:
-        return attached.withColumn("converted", settled)
-    if len(found) <= 1_000:
-        partial = F.broadcast(events.sparkSession.createDataFrame(found, partial.schema))
-    on_edge = contested & F.coalesce(split_key, F.lit(False))
-    rest = attached.where(~on_edge).withColumn("converted", settled)
-    # The semi join comes first, so this branch only ever carries rows of the split keys.
-    edge_rows = attach_keys(events.join(partial, list(KEYS), "left_semi"), keys, row_key).where(contested)
-    row_hash = hash60(F.col(row_key))
-    ranked = prefix_allocate(
-        edge_rows,
+    partial = broadcast_if_small(partial, 1_000)
+    rows = events.select(*KEYS, "ts", row_key, "event_type", "alert").join(partial.select(*KEYS), list(KEYS), "left_semi")
+    order = _conversion_order(row_key)
+    ranked = take_prefix(
+        rows.where(_negative()),
         group=KEYS,
         quota=partial,
-        levels=[F.unix_millis("ts"), *hash_levels(row_hash)],
-        tie=[row_hash, F.col(row_key)],
-        out="converted",
-    ).withColumn("converted", F.col("converted").cast("int"))
-    return rest.unionByName(ranked)
+        levels=[F.unix_millis("ts"), *hash_levels(hash60(F.col(row_key)))],
+        tie=[order],
+    )
+    cuts = broadcast_if_small(ranked.groupBy(*KEYS).agg(F.max(order).alias("cut")), 1_000)
+    return keys.join(cuts, list(KEYS), "left")
+
+
+def converted_flag(row_key: str = "row_id") -> Column:
+    """1 converts, 0 was cut by the cap, null is not up for conversion."""
+    contested = _negative() & F.coalesce(F.col("key_target") == 1, F.lit(False))
+    inside = F.col("cut").isNull() | (_conversion_order(row_key) <= F.col("cut"))
+    return F.when(contested, ((F.col("alloc") > 0) & inside).cast("int"))
+
+
+def cap_conversions(events: DataFrame, keys: DataFrame, row_key: str = "row_id") -> DataFrame:
+    """Key outcome on every event, with each key limited to its ``alloc`` conversions."""
+    attached = attach_keys(events, with_cutoffs(events, keys, row_key), row_key)
+    return attached.withColumn("converted", converted_flag(row_key))
 
 
 def final_labels(events: DataFrame) -> DataFrame:
@@ -337,14 +356,26 @@ def refine_labels(
     budget: BudgetSettings = BudgetSettings(),
     row_key: str = "row_id",
 ) -> DataFrame:
-    """Cascade, budget, cap and labels in one call; ``records`` come from ``probe_records``."""
+    """Cascade, budget, cap and labels in one call; ``records`` come from ``probe_records``.
+
+    Windows, key outcomes and cutoffs are joined to one another first (all small next to
+    the events), so the events themselves are joined once.
+    """
     keys = cut_lineage(converting_keys(refinement_keys(records, probe), budget), "refinement-keys")
-    windowed = attach_windows(events, records, probe, row_key)
+    keyed = keyed_events(events, probe.window_minutes)
     total = _total_no_alert(records)
-    if not budget.enforce or total <= 0:
-        return final_labels(attach_keys(windowed, keys, row_key))
-    rows = int(total * budget.max_conversion_pct / 100.0)
-    allocated = allocate_budget(keys, rows, budget).unionByName(
-        keys.where(F.col("Target_refined_for_no_alert") == 0).withColumn("alloc", F.lit(0).cast("bigint"))
+    capped = budget.enforce and total > 0
+    if capped:
+        rows = int(total * budget.max_conversion_pct / 100.0)
+        allocated = allocate_budget(keys, rows, budget).unionByName(
+            keys.where(F.col("Target_refined_for_no_alert") == 0).withColumn("alloc", F.lit(0).cast("bigint"))
+        )
+        keys = with_cutoffs(keyed, cut_lineage(allocated, "budget"), row_key)
+    lookup = cut_lineage(
+        records.select(*KEYS, *PROBE_INT_COLUMNS, *PROBE_DOUBLE_COLUMNS).join(
+            keys.select(*KEYS, *_key_columns(keys)), list(KEYS), "left"
+        ),
+        "window-lookup",
     )
-    return final_labels(cap_conversions(windowed, cut_lineage(allocated, "budget"), row_key))
+    joined = _zero_outside(lookup_join(keyed, lookup, KEYS, weight="event_count_window", spread_by=[row_key]))
+    return final_labels(joined.withColumn("converted", converted_flag(row_key)) if capped else joined)
