@@ -40,17 +40,19 @@ def hash_levels(hash60: Column) -> list[Column]:
     ]
 
 
-def _attach(df: DataFrame, table: DataFrame, keys: list[str], small: bool) -> DataFrame:
-    """Add the per-group columns of ``table``; rows of groups missing there get nulls."""
+def _attach(df: DataFrame, table: DataFrame, keys: list[str], rows: list | None) -> DataFrame:
+    """Add the per-group columns of ``table``; rows of groups missing there get nulls.
+
+    ``rows`` are the table's rows when it is small enough to be on the driver anyway.
+    """
     if not keys:
         # A single global group: its one row becomes literals.
-        row = table.limit(1).collect()
-        types = {f.name: f.dataType for f in table.schema.fields}
+        row = rows[0] if rows else None
         return df.withColumns(
-            {name: F.lit(row[0][name] if row else None).cast(kind) for name, kind in types.items()}
+            {f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in table.schema.fields}
         )
     right = table.select(*[F.col(k).alias(f"__e_{k}") for k in keys], *[c for c in table.columns if c not in keys])
-    if small:
+    if rows is not None:
         right = F.broadcast(right)
     condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__e_{k}")) for k in keys])
     return df.join(right, condition, "left").drop(*[f"__e_{k}" for k in keys])
@@ -88,7 +90,7 @@ def prefix_allocate(
     candidates = base
     decided: list[DataFrame] = []
     remaining = quota_frame
-    small = False
+    collected: list | None = quota_frame.limit(1).collect() if quota_frame is not None and not group else None
     for depth, name in enumerate(names):
         counts = candidates.groupBy(*group, name).agg(F.sum("__w").alias("w"), F.count(F.lit(1)).alias("n"))
         running = Window.partitionBy(*group).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
@@ -96,7 +98,7 @@ def prefix_allocate(
         if remaining is None:
             counts = counts.withColumn("quota", F.lit(int(quota)).cast("bigint"))
         else:
-            counts = _attach(counts, remaining.select(*group, "quota"), group, small)
+            counts = _attach(counts, remaining.select(*group, "quota"), group, collected)
             counts = counts.withColumn("quota", F.coalesce("quota", F.lit(0).cast("bigint")))
         edges = (
             counts.where(F.col("before") + F.col("w") > F.col("quota"))
@@ -113,10 +115,11 @@ def prefix_allocate(
         )
         # One small row per group; the limit bounds what reaches the driver.
         collected = edges.limit(MAX_BROADCAST_GROUPS + 1).collect()
-        small = len(collected) <= MAX_BROADCAST_GROUPS
-        if small:
+        if len(collected) <= MAX_BROADCAST_GROUPS:
             edges = spark.createDataFrame(collected, edges.schema)
-        joined = _attach(candidates, edges.drop("__edge_rows"), group, small)
+        else:
+            collected = None
+        joined = _attach(candidates, edges.drop("__edge_rows"), group, collected)
         position = F.col(name)
         decided.append(
             joined.where(F.col("__edge").isNull() | (position != F.col("__edge")))
@@ -130,14 +133,14 @@ def prefix_allocate(
         )
         candidates = joined.where(position == F.col("__edge")).drop("__edge", "quota")
         remaining = edges.select(*group, "quota")
-        if small and all(row["__edge_rows"] <= DIRECT_RANK_ROWS for row in collected):
+        if collected is not None and all((row["__edge_rows"] or 0) <= DIRECT_RANK_ROWS for row in collected):
             break
 
     order = Window.partitionBy(*group).orderBy(*names, *tie).rowsBetween(Window.unboundedPreceding, -1)
     if remaining is None:
         ranked = candidates.withColumn("quota", F.lit(int(quota)).cast("bigint"))
     else:
-        ranked = _attach(candidates, remaining, group, small)
+        ranked = _attach(candidates, remaining, group, collected)
     before = F.coalesce(F.sum("__w").over(order), F.lit(0))
     ranked = ranked.withColumn(
         out,

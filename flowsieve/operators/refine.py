@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions import labels
 from flowsieve.functions.hashing import hash60
 from flowsieve.functions.scalars import window_floor
-from flowsieve.operators.allocate import hash_levels, prefix_allocate, take_prefix
+from flowsieve.operators.allocate import DIRECT_RANK_ROWS, hash_levels, prefix_allocate, take_prefix
 from flowsieve.operators.joins import broadcast_if_small, lookup_join
 from flowsieve.operators.windows import KEYS, ProbeSettings
 from flowsieve.session import cut_lineage
@@ -279,19 +279,38 @@ def with_cutoffs(events: DataFrame, keys: DataFrame, row_key: str = "row_id") ->
         (F.col("Target_refined_for_no_alert") == 1)
         & (F.col("alloc") > 0)
         & (F.col("alloc") < F.col("no_alert_count_window"))
-    ).select(*KEYS, F.col("alloc").alias("quota"))
-    partial = broadcast_if_small(partial, 1_000)
-    rows = events.select(*KEYS, "ts", row_key, "event_type", "alert").join(partial.select(*KEYS), list(KEYS), "left_semi")
+    ).select(*KEYS, F.col("alloc").alias("quota"), F.col("no_alert_count_window").alias("rows"))
     order = _conversion_order(row_key)
-    ranked = take_prefix(
-        rows.where(_negative()),
-        group=KEYS,
-        quota=partial,
-        levels=[F.unix_millis("ts"), *hash_levels(hash60(F.col(row_key)))],
-        tie=[order],
+    found = partial.limit(_MAX_LISTED_KEYS + 1).collect()
+    if not found:
+        cut_type = events.select(order.alias("cut")).schema["cut"].dataType
+        return keys.withColumn("cut", F.lit(None).cast(cut_type))
+    listed = len(found) <= _MAX_LISTED_KEYS
+    if listed:
+        partial = F.broadcast(events.sparkSession.createDataFrame(found, partial.schema))
+    rows = (
+        events.select(*KEYS, "ts", row_key, "event_type", "alert")
+        .join(partial, list(KEYS))
+        .where(_negative())
+        .select(*KEYS, "quota", "ts", row_key, order.alias("cut"))
     )
-    cuts = broadcast_if_small(ranked.groupBy(*KEYS).agg(F.max(order).alias("cut")), 1_000)
-    return keys.join(cuts, list(KEYS), "left")
+    if listed and all(r["rows"] <= DIRECT_RANK_ROWS for r in found):
+        position = F.row_number().over(Window.partitionBy(*KEYS).orderBy("cut"))
+        cuts = rows.withColumn("__n", position).where(F.col("__n") == F.col("quota")).select(*KEYS, "cut")
+    else:
+        taken = take_prefix(
+            rows.drop("quota"),
+            group=KEYS,
+            quota=partial.select(*KEYS, "quota"),
+            levels=[F.unix_millis("ts"), *hash_levels(hash60(F.col(row_key)))],
+            tie=[F.col("cut")],
+        )
+        cuts = taken.groupBy(*KEYS).agg(F.max("cut").alias("cut"))
+    return keys.join(broadcast_if_small(cuts, _MAX_LISTED_KEYS), list(KEYS), "left")
+
+
+# Partly covered keys beyond this number are joined by shuffle instead of from a list.
+_MAX_LISTED_KEYS = 1_000
 
 
 def converted_flag(row_key: str = "row_id") -> Column:

@@ -40,8 +40,6 @@ class Query:
 def load_catalogue() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for module in _MODULES:
-        import importlib.util as _u
-        if _u.find_spec(f"{__name__}.{module}") is None: continue  # TEMP
         for query in import_module(f"{__name__}.{module}").QUERIES:
             if query.name in out:
                 raise ValueError(f"duplicate query name {query.name}")
