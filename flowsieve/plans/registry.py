@@ -165,10 +165,9 @@ class FlowMethod:
             names = [c for c in prepared.columns if c != label]
         else:
             names = list(features)
-        rows = df.select(key, label, *[F.col(f"`{c}`") for c in names]).na.drop()
         # Column names may hold dots, which ML stages read as nested fields.
         plain = {c: c.replace(".", "_") for c in names}
-        rows = rows.select(key, label, *[F.col(f"`{c}`").cast("double").alias(plain[c]) for c in names])
+        rows = df.select(key, label, *[F.col(f"`{c}`").cast("double").alias(plain[c]) for c in names]).na.drop()
         inputs = [plain[c] for c in names]
         split = sampling.stratified_split(rows, label=label, key=key, test_share=TEST_SHARE, seed=seed)
         train = split.where(F.col("split") == sampling.TRAIN).drop("split")
