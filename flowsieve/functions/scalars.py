@@ -25,10 +25,12 @@ def is_finite(c: Column) -> Column:
 def _plain_number(value: Column | str) -> Column:
     """Double, or null for text that is no decimal number.
 
-    The cast alone would also read Java literals such as ``1d``, ``2f`` and ``0x1p3``.
+    The cast alone would also read Java literals such as ``1d``, ``2f`` and ``0x1p3``.  The
+    type test folds to a constant, so numeric columns pay for the cast only.
     """
     c = to_col(value)
-    return F.when(~c.cast("string").rlike("[dDfFxX]"), c.try_cast("double"))
+    java_literal = (F.typeof(c) == "string") & c.cast("string").rlike("[dDfFxX]")
+    return F.when(java_literal, F.lit(None)).otherwise(c.try_cast("double"))
 
 
 def lenient_double(value: Column | str, default: float | None = 0.0) -> Column:

@@ -26,14 +26,13 @@ MAX_BROADCAST_GROUPS = 10_000
 # An edge cell with no more rows than this is ranked directly; deeper levels are skipped.
 DIRECT_RANK_ROWS = 200_000
 
-# Cell offsets of ``rank_in_group``: 65,536 cells for each of a few classes.
-MAX_OFFSET_ROWS = 600_000
-
-_HASH_LEVEL_BITS = 20
+# A level keeps its count table at 16,384 rows per group; two levels leave about one row in
+# 270 million.
+_HASH_LEVEL_BITS = 14
 
 
 def hash_levels(hash60: Column) -> list[Column]:
-    """Two nested 20-bit prefixes of a 60-bit hash: about a million cells per level."""
+    """Two nested prefixes of a 60-bit hash, one per level."""
     return [
         F.shiftright(hash60, 60 - _HASH_LEVEL_BITS),
         F.shiftright(hash60, 60 - 2 * _HASH_LEVEL_BITS).bitwiseAND(F.lit(2**_HASH_LEVEL_BITS - 1)),
@@ -158,12 +157,13 @@ def take_prefix(df: DataFrame, **kwargs) -> DataFrame:
 def rank_in_group(df: DataFrame, *, group: Sequence[str], hash60: Column, tie: Sequence[Column], out: str) -> DataFrame:
     """Exact 0-based rank of every row in its group by (hash, tie).
 
-    Rows are cut into 65,536 hash cells per group; the count table gives each cell its
-    offset, and the window runs inside one cell.  Groups must be few (class labels).
+    Rows are cut into hash cells of about 50,000 rows (65,536 cells at most); the count
+    table gives each cell its offset, and the window runs inside one cell.  Groups are
+    meant to be few, such as class labels.
     """
     group = list(group)
-    cell = F.shiftright(F.col("__h"), 44)
-    base = df.withColumn("__h", hash60).withColumn("__cell", cell)
+    bits = min(16, max(0, (df.count() // _RANK_CELL_ROWS).bit_length()))
+    base = df.withColumn("__h", hash60).withColumn("__cell", F.shiftright(F.col("__h"), 60 - bits))
     counts = base.groupBy(*group, "__cell").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy(*group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -171,12 +171,15 @@ def rank_in_group(df: DataFrame, *, group: Sequence[str], hash60: Column, tie: S
     )
     inside = Window.partitionBy(*group, "__cell").orderBy("__h", *tie)
     return (
-        base.join(broadcast_if_small(offsets, MAX_OFFSET_ROWS), [*group, "__cell"])
+        base.join(broadcast_if_small(offsets), [*group, "__cell"])
         .withColumn(out, (F.col("__offset") + F.row_number().over(inside) - 1).cast("bigint"))
         .drop("__h", "__cell", "__offset")
     )
 
 
+_RANK_CELL_ROWS = 50_000
+
+
 def running_totals(df: DataFrame, *, order_by: str, sums: Sequence[str], cells: int = 512) -> DataFrame:
     """Cumulative sums over a whole table ordered by one numeric column, ascending.
 
@@ -216,80 +219,94 @@ class Cutoffs:
         self._limits = limits
 
     def test(self, hash60: Column, key: Column) -> Column:
-        chosen = F.lit(False)
-        for value, (cut, last) in self._limits.items():
-            if cut is None:
-                inside = F.lit(True)
-            elif last is None:
-                inside = hash60 < cut
-            else:
-                inside = (hash60 < cut) | ((hash60 == cut) & (key <= F.lit(last)))
+        """True for selected rows.  The limits sit in one CASE each, so the hash expression is
+        repeated twice however many groups there are."""
+        cut, last = F.lit(-1).cast("bigint"), F.lit(None)
+        for value, (limit, final) in self._limits.items():
+            # No limit keeps everything; a limit without a last key stops right before it.
+            at = 2**62 if limit is None else limit
             if self._group is None:
-                return inside
-            chosen = F.when(F.col(self._group).eqNullSafe(F.lit(value)), inside).otherwise(chosen)
-        return chosen
+                cut, last = F.lit(at), F.lit(final)
+            else:
+                mine = F.col(self._group).eqNullSafe(F.lit(value))
+                cut, last = F.when(mine, F.lit(at)).otherwise(cut), F.when(mine, F.lit(final)).otherwise(last)
+        return (hash60 < cut) | ((hash60 == cut) & F.coalesce(key <= last, F.lit(False)))
 
 
 def quota_cutoffs(df: DataFrame, *, hash60: Column, key: Column, quota: int | dict, group: str | None = None) -> Cutoffs:
     """Find the limits that keep exactly ``quota`` rows (per group value, if grouped).
 
     One aggregate counts rows per hash cell; its running total names the cell where each
-    quota ends, and only that cell (about a millionth of the rows) is ranked.
+    quota ends.  While that cell is still large it is cut into cells again; then its rows
+    are ranked.
     """
     keys = [group] if group else []
-    cell_bits = 60 - _HASH_LEVEL_BITS
     base = df.select(*keys, hash60.alias("__h"), key.alias("__k"))
-    counts = base.groupBy(*keys, F.shiftright("__h", cell_bits).alias("__cell")).agg(F.count(F.lit(1)).alias("n"))
-    if isinstance(quota, dict):
-        wanted = F.lit(0).cast("bigint")
-        for value, amount in quota.items():
-            wanted = F.when(F.col(group).eqNullSafe(F.lit(value)), F.lit(int(amount)).cast("bigint")).otherwise(wanted)
-    else:
-        wanted = F.lit(int(quota)).cast("bigint")
     running = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
-        counts.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
-        .withColumn("quota", wanted)
-        .groupBy(*keys)
-        .agg(
-            F.min(
-                F.when(
-                    F.col("before") + F.col("n") > F.col("quota"),
-                    F.struct("__cell", (F.col("quota") - F.col("before")).alias("left")),
-                )
-            ).alias("e")
-        )
-    )
-    rows = edge.limit(MAX_BROADCAST_GROUPS + 1).collect()
-    if len(rows) > MAX_BROADCAST_GROUPS:
-        raise ValueError("too many groups for literal cutoffs; use prefix_allocate")
     limits: dict = {}
-    inside = F.lit(False)
-    at_rank = F.lit(None).cast("bigint")
-    open_groups = []
-    for row in rows:
-        value = row[group] if group else None
-        if row["e"] is None:
-            limits[value] = (None, None)
-            continue
-        cell, left = row["e"]["__cell"], max(0, row["e"]["left"])
-        if left == 0:
-            limits[value] = (cell << cell_bits, None)
-            continue
-        member = F.col("__h").between(F.lit(cell << cell_bits), F.lit(((cell + 1) << cell_bits) - 1))
-        mine = F.col(group).eqNullSafe(F.lit(value)) if group else F.lit(True)
-        inside = inside | (mine & member)
-        at_rank = F.when(mine, F.lit(left)).otherwise(at_rank)
-        open_groups.append(value)
-    if open_groups:
-        order = Window.partitionBy(*keys).orderBy("__h", "__k")
-        last = (
-            base.where(inside)
-            .withColumn("r", F.row_number().over(order))
-            .where(F.col("r") == at_rank)
-            .select(*keys, "__h", "__k")
-            .collect()
+    # Per group value still open: (low end of its cell, rows wanted inside the cell).
+    open_cells: dict | None = None
+    shift = 60
+    while True:
+        shift -= _HASH_LEVEL_BITS
+        inside, wanted = _open_rows(group, open_cells, quota, shift + _HASH_LEVEL_BITS)
+        counts = base.where(inside).groupBy(*keys, F.shiftright("__h", shift).alias("__cell")).agg(F.count(F.lit(1)).alias("n"))
+        edge = (
+            counts.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
+            .withColumn("quota", wanted)
+            .groupBy(*keys)
+            .agg(
+                F.min(
+                    F.when(
+                        F.col("before") + F.col("n") > F.col("quota"),
+                        F.struct("__cell", (F.col("quota") - F.col("before")).alias("left"), "n"),
+                    )
+                ).alias("e")
+            )
         )
-        for row in last:
-            limits[row[group] if group else None] = (row["__h"], row["__k"])
+        rows = edge.limit(MAX_BROADCAST_GROUPS + 1).collect()
+        if len(rows) > MAX_BROADCAST_GROUPS:
+            raise ValueError("too many groups for literal cutoffs; use prefix_allocate")
+        open_cells, largest = {}, 0
+        for row in rows:
+            value, e = row[group] if group else None, row["e"]
+            if e is None:
+                limits[value] = (None, None)
+            elif e["left"] <= 0:
+                limits[value] = (e["__cell"] << shift, None)
+            else:
+                open_cells[value] = (e["__cell"] << shift, e["left"])
+                largest = max(largest, e["n"])
+        if not open_cells:
+            return Cutoffs(group, limits)
+        if largest <= DIRECT_RANK_ROWS or shift <= _HASH_LEVEL_BITS:
+            break
+    inside, wanted = _open_rows(group, open_cells, quota, shift)
+    order = Window.partitionBy(*keys).orderBy("__h", "__k")
+    last = (
+        base.where(inside)
+        .withColumn("__n", F.row_number().over(order))
+        .where(F.col("__n") == wanted)
+        .select(*keys, "__h", "__k")
+        .collect()
+    )
+    for row in last:
+        limits[row[group] if group else None] = (row["__h"], row["__k"])
     return Cutoffs(group, limits)
+
+
+def _open_rows(group: str | None, open_cells: dict | None, quota: int | dict, shift: int) -> tuple[Column, Column]:
+    """Rows inside the open cells (all rows at first) and the quota that applies to them."""
+    if open_cells is None:
+        if not isinstance(quota, dict):
+            return F.lit(True), F.lit(max(0, int(quota))).cast("bigint")
+        wanted = F.lit(0).cast("bigint")
+        for value, amount in quota.items():
+            wanted = F.when(F.col(group).eqNullSafe(F.lit(value)), F.lit(max(0, int(amount))).cast("bigint")).otherwise(wanted)
+        return F.lit(True), wanted
+    cell, wanted = F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
+    for value, (low, left) in open_cells.items():
+        mine = F.col(group).eqNullSafe(F.lit(value)) if group else F.lit(True)
+        cell = F.when(mine, F.lit(low >> shift).cast("bigint")).otherwise(cell)
+        wanted = F.when(mine, F.lit(left).cast("bigint")).otherwise(wanted)
+    return F.shiftright("__h", shift) == cell, wanted

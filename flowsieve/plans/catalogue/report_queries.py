@@ -13,6 +13,7 @@ from flowsieve.plans.catalogue.feature_queries import APP_SQL, BASE, _CLASS, _RA
 from flowsieve.plans.catalogue.sampling_queries import unit_sql
 from flowsieve.plans.catalogue.window_queries import DAY, POSITIVE, day_records, window_ctes
 from flowsieve.plans.stand_in import event_records, run_cte, run_table
+from flowsieve.session import cut_lineage
 
 APP = "tls"
 
@@ -96,7 +97,9 @@ def _comparison(spark, sf_dir):
 
 
 def _box(spark, sf_dir):
-    out = reports.box_statistics(report_rows(spark, sf_dir))
+    # Several passes: they read the exported columns, as a report does.
+    exported = cut_lineage(report_rows(spark, sf_dir).select(*reports.BOX_FEATURES, "Target_refined"), "exported")
+    out = reports.box_statistics(exported)
     return out.withColumns({c: F.round(c, 6) for c in ("q25", "median", "q75", "low_whisker", "high_whisker")})
 
 

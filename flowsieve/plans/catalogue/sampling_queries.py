@@ -8,6 +8,7 @@ from flowsieve.operators import sampling as S
 from flowsieve.operators.windows import add_window
 from flowsieve.plans.catalogue import Query
 from flowsieve.plans.stand_in import event_cte, event_records, flow_cte, flow_table
+from flowsieve.session import cut_lineage
 
 SEED = 42
 KEY = {"label": "Label", "key": "row_key"}
@@ -21,6 +22,11 @@ def unit_sql(seed: int, text: str) -> str:
     return f"((('0x' || substr(md5('{seed}:' || {text}), 1, 15))::BIGINT) % 1000000) / 1000000.0"
 
 
+def _keyed_flows(spark, sf_dir):
+    """Flow rows with their key as a stored column; sampling passes over it several times."""
+    return cut_lineage(flow_table(spark, sf_dir).select("row_key", "Label", "l_quantity"), "keyed-flows")
+
+
 def _windowed(spark, sf_dir):
     events = add_window(event_records(spark, sf_dir), 5)
     return events.withColumn("application", F.lower(F.coalesce("app_proto", F.lit(""))))
@@ -45,41 +51,41 @@ def _time(spark, sf_dir):
 
 
 def _stratified(spark, sf_dir):
-    return S.stratified_split(flow_table(spark, sf_dir), **KEY, seed=SEED).select("row_key", "split")
+    return S.stratified_split(_keyed_flows(spark, sf_dir), **KEY, seed=SEED).select("row_key", "split")
 
 
 def _under(spark, sf_dir):
-    return S.undersample(flow_table(spark, sf_dir), **KEY, seed=SEED).select("row_key", "Label")
+    return S.undersample(_keyed_flows(spark, sf_dir), **KEY, seed=SEED).select("row_key", "Label")
 
 
 def _uniform(spark, sf_dir):
-    return S.uniform_sample(flow_table(spark, sf_dir), 1234, key="row_key", seed=SEED).select("row_key")
+    return S.uniform_sample(_keyed_flows(spark, sf_dir), 1234, key="row_key", seed=SEED).select("row_key")
 
 
 def _quota(strategy):
     def run(spark, sf_dir):
-        return S.quota_sample(flow_table(spark, sf_dir), 3000, **KEY, strategy=strategy, seed=SEED).select("row_key", "Label")
+        return S.quota_sample(_keyed_flows(spark, sf_dir), 3000, **KEY, strategy=strategy, seed=SEED).select("row_key", "Label")
 
     return run
 
 
 def _report(spark, sf_dir):
-    rows = flow_table(spark, sf_dir)
+    rows = _keyed_flows(spark, sf_dir)
     sample = S.quota_sample(rows, 0, **KEY, per_class=15_000, seed=SEED)
     return S.sample_report(rows, sample, label="Label", requested=15_000)
 
 
 def _balanced(spark, sf_dir):
-    return S.class_sample(flow_table(spark, sf_dir), **KEY, per_class=2500, seed=SEED).select("row_key", "Label")
+    return S.class_sample(_keyed_flows(spark, sf_dir), **KEY, per_class=2500, seed=SEED).select("row_key", "Label")
 
 
 def _dual(spark, sf_dir):
-    out = S.dual_holdout(flow_table(spark, sf_dir), **KEY, natural_rows=5000, per_class_rows=2000, seed=SEED)
+    out = S.dual_holdout(_keyed_flows(spark, sf_dir), **KEY, natural_rows=5000, per_class_rows=2000, seed=SEED)
     return out.where("in_natural OR in_balanced").select("row_key", "in_natural", "in_balanced")
 
 
 def _split_flow(spark, sf_dir):
-    return S.stratified_split(flow_table(spark, sf_dir), **KEY, seed=SEED)
+    return S.stratified_split(_keyed_flows(spark, sf_dir), **KEY, seed=SEED)
 
 
 def _distribution(spark, sf_dir):
@@ -153,7 +159,7 @@ QUERIES = [
     Query("h8_balanced_sample", _balanced, f"{_RANKED} SELECT row_key, Label FROM r WHERE n <= 2500"),
     Query(
         "h9_natural_sample",
-        lambda spark, sf_dir: S.uniform_sample(flow_table(spark, sf_dir), 4000, key="row_key", seed=SEED + 1)
+        lambda spark, sf_dir: S.uniform_sample(_keyed_flows(spark, sf_dir), 4000, key="row_key", seed=SEED + 1)
         .groupBy("Label")
         .agg(F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").alias("quantity")),
         f"WITH {flow_cte()}, r AS (SELECT *, row_number() OVER (ORDER BY {rank_sql(SEED + 1)}) AS g FROM fl) "

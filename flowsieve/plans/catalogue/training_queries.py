@@ -17,13 +17,15 @@ from flowsieve.plans.catalogue import Query
 from flowsieve.plans.catalogue.sampling_queries import SPLIT_CTE, rank_sql, unit_sql
 from flowsieve.plans.catalogue.window_queries import DAY
 from flowsieve.plans.stand_in import FLOW_FEATURES, event_records, flow_cte, flow_table, read_table
+from flowsieve.session import cut_lineage
 
 LABEL, KEY = "Label", "row_key"
 FEATURES = list(FLOW_FEATURES)
 
 
 def _split(spark, sf_dir):
-    rows = S.stratified_split(flow_table(spark, sf_dir), label=LABEL, key=KEY)
+    rows = cut_lineage(flow_table(spark, sf_dir).select(KEY, LABEL, *FEATURES), "flows")
+    rows = cut_lineage(S.stratified_split(rows, label=LABEL, key=KEY), "split")
     return rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
 
 

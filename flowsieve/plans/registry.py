@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from flowsieve.operators import evaluation, models, sampling, selection
 from flowsieve.operators.features import FLOW_DROPPED, prepare_flow_table
 from flowsieve.plans.event_job import EVENT_METHODS
+from flowsieve.session import cut_lineage
 
 FLOW = "flow_table"
 
@@ -169,7 +170,8 @@ class FlowMethod:
         plain = {c: c.replace(".", "_") for c in names}
         rows = df.select(key, label, *[F.col(f"`{c}`").cast("double").alias(plain[c]) for c in names]).na.drop()
         inputs = [plain[c] for c in names]
-        split = sampling.stratified_split(rows, label=label, key=key, test_share=TEST_SHARE, seed=seed)
+        # Estimators pass over the data many times; they read the written split, not its plan.
+        split = cut_lineage(sampling.stratified_split(rows, label=label, key=key, test_share=TEST_SHARE, seed=seed), "split")
         train = split.where(F.col("split") == sampling.TRAIN).drop("split")
         test = split.where(F.col("split") == sampling.TEST).drop("split")
         if self.balanced:

@@ -22,7 +22,9 @@ def build_session(app_name: str = "flowsieve", master: str | None = None, **extr
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_SETTINGS, **extra}.items():
+    # Recording the Python call site of every column expression slows plan building down.
+    static = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+    for key, value in {**static, **RUNTIME_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return prepare(builder.getOrCreate())
 

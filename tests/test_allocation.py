@@ -83,7 +83,10 @@ def test_many_groups_take_the_shuffle_path(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("quota", [0, 1, 60, 5_000])
-def test_cutoffs(spark, quota):
+@pytest.mark.parametrize("limit,bits", [(0, 3), (5, 4), (200_000, 14)])
+def test_cutoffs(spark, monkeypatch, quota, limit, bits):
+    monkeypatch.setattr(allocate, "DIRECT_RANK_ROWS", limit)
+    monkeypatch.setattr(allocate, "_HASH_LEVEL_BITS", bits)
     rows = rows_of(9)
     df = spark.createDataFrame(rows, SCHEMA)
     h, key = hash60(F.col("key")), F.col("key")
@@ -106,7 +109,9 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert {r["key"] for r in uniform_sample(df, 30, key="key").collect()} < picks[0]
 
 
-def test_rank_in_group(spark):
+@pytest.mark.parametrize("cell_rows", [3, 50_000])
+def test_rank_in_group(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(allocate, "_RANK_CELL_ROWS", cell_rows)
     rows = rows_of(5)
     h = hash60(F.col("key"))
     out = rank_in_group(spark.createDataFrame(rows, SCHEMA), group=["grp"], hash60=h, tie=[F.col("key")], out="rank")
