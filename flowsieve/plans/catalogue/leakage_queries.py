@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.operators import manifest, screening
 from flowsieve.plans.catalogue import Query
-from flowsieve.plans.catalogue.report_queries import report_rows
+from flowsieve.plans.catalogue.report_queries import REPORT, report_rows
 from flowsieve.plans.stand_in import FLOW_FEATURES, event_cte, event_records, flow_cte, flow_table
 
 # Two extra columns: one constant and one text column.
@@ -127,7 +127,11 @@ QUERIES = [
         "('src_ip', 'direct_policy_drop'), ('event_type_h', 'direct_policy_drop'), ('proto_h', 'kept'), ('total_bytes', 'kept')) "
         "AS x(\"column\", reason)",
     ),
-    Query("g8_modeling_projection", _modeling),
+    Query(
+        "g8_modeling_projection",
+        _modeling,
+        f"WITH {REPORT} SELECT row_id, src_port, total_bytes, Target_refined, 0 AS leaked FROM rep",
+    ),
     Query("g10_target_correlation", _correlation, f"WITH {flow_cte()} {_corr_sql(FLOW_FEATURES)}"),
     Query(
         "g11_correlation_issues",
