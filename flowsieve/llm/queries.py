@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import mixing, simhash
+from flowsieve.llm import mixing, packing, simhash, token_files
+from flowsieve.llm.tokens import Vocabulary
+from flowsieve.session import scratch_path
+
+# Vocabulary, what separates its units, and the id that ends a document.
+TOKEN_FILES = ("word_bpe_49k.json", "spaced_words", 1)
+PACKING = ("byte_bpe_50k.json", "byte_level", 0)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,15 +26,38 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary(spark: SparkSession, name: str, boundary: str) -> Vocabulary:
+    import public_tokenizers
+
+    return Vocabulary(spark, public_tokenizers.path(name), boundary)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, boundary, end_id = TOKEN_FILES
+    manifest = token_files.write_token_files(
+        _documents(spark, sf_dir), scratch_path(spark, "token-files"), vocabulary(spark, name, boundary), end_id=end_id
+    )
+    return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir)).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, boundary, end_id = PACKING
+    return packing.pack(_documents(spark, sf_dir), vocabulary(spark, name, boundary), end_id=end_id).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op3_token_files": op3_token_files,
     "op4_simhash_groups": op4_simhash_groups,
+    "op5_packing": op5_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
