@@ -73,3 +73,15 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> DataFrame:
+    """``(text, label)`` of at most ``rows`` labelled documents a model may learn from.
+
+    They are those whose ids hash lowest, so the sample does not depend on the partitioning.
+    An id labelled twice counts as 1 if any of its labels is.  At most ``rows`` ids are broadcast.
+    """
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & ~held_out(F.col("doc_id")))
+    chosen = usable.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(stored(chosen)), "doc_id").select("text", "label")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import mixing, packing, simhash, token_files
+from flowsieve.llm import additive, mixing, packing, repetition, secrets, simhash, token_files, toxicity
+from flowsieve.llm.common import held_out
 from flowsieve.llm.tokens import Vocabulary
 from flowsieve.session import scratch_path
 
@@ -26,12 +27,27 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _scored(docs: DataFrame, score: Column, limit: float) -> DataFrame:
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= limit).cast("int"))
+
+
 def vocabulary(spark: SparkSession, name: str, boundary: str) -> Vocabulary:
     import public_tokenizers
 
     return Vocabulary(spark, public_tokenizers.path(name), boundary)
 
 
+def op2_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = additive.learn(docs, _labels(spark, sf_dir))
+    return _scored(docs, additive.score(F.col("text"), model), additive.GOOD_AT)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, boundary, end_id = TOKEN_FILES
     manifest = token_files.write_token_files(
@@ -53,11 +69,38 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(_documents(spark, sf_dir))
+    count = {kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint") for kind in secrets.KINDS[:3]}
+    return found.select(
+        "doc_id",
+        *[n.alias(f"n_{kind}") for kind, n in count.items()],
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.with_rules(_documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    lexicon = toxicity.learn(docs, _labels(spark, sf_dir))
+    return _scored(docs, toxicity.score(F.col("text"), lexicon), toxicity.TOXIC_AT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op2_quality_scores": op2_quality_scores,
     "op3_token_files": op3_token_files,
     "op4_simhash_groups": op4_simhash_groups,
     "op5_packing": op5_packing,
+    "op6_secret_spans": op6_secret_spans,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
