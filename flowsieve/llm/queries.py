@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import additive, mixing, packing, repetition, secrets, simhash, token_files, toxicity
+from flowsieve.llm import additive, mixing, packing, repetition, secrets, simhash, sketches, token_files, toxicity
 from flowsieve.llm.common import held_out
 from flowsieve.llm.tokens import Vocabulary
 from flowsieve.session import scratch_path
@@ -80,6 +80,19 @@ def op6_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return sketches.fingerprints(_documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        sketches.as_text(own).alias("fingerprint"),
+        sketches.as_text(edited).alias("edited_fingerprint"),
+        sketches.resemblance(own, edited).alias("near_edited"),
+        sketches.resemblance(own, following).alias("near_next"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.with_rules(_documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -99,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_groups": op4_simhash_groups,
     "op5_packing": op5_packing,
     "op6_secret_spans": op6_secret_spans,
+    "op7_bottom_k": op7_bottom_k,
     "op8_quality_rules": op8_quality_rules,
     "op10_toxicity": op10_toxicity,
 }
