@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import additive, mixing, packing, repetition, secrets, simhash, sketches, token_files, toxicity
+from flowsieve.llm import additive, mixing, packing, repeats, repetition, secrets, simhash, sketches, token_files, toxicity
 from flowsieve.llm.common import held_out
 from flowsieve.llm.tokens import Vocabulary
 from flowsieve.session import scratch_path
@@ -99,6 +99,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return repeats.remove_repeats(_documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     lexicon = toxicity.learn(docs, _labels(spark, sf_dir))
@@ -114,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_spans": op6_secret_spans,
     "op7_bottom_k": op7_bottom_k,
     "op8_quality_rules": op8_quality_rules,
+    "op9_repeated_bytes": op9_repeated_bytes,
     "op10_toxicity": op10_toxicity,
 }
 
