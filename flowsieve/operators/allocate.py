@@ -13,7 +13,8 @@ subset of a larger one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,8 @@ from flowsieve.operators.joins import broadcast_if_small
 
 # Edge tables (one row per group) above this size are shuffle-joined instead of broadcast.
 MAX_BROADCAST_GROUPS = 10_000
+# Groups whose limits are written into the plan as one CASE; more are joined.
+MAX_LITERAL_GROUPS = 256
 # An edge cell with no more rows than this is ranked directly; deeper levels are skipped.
 DIRECT_RANK_ROWS = 200_000
 
@@ -207,43 +210,65 @@ def running_totals(df: DataFrame, *, order_by: str, sums: Sequence[str], cells:
     )
 
 
+@dataclass(frozen=True)
+class Limit:
+    """Where a group's selection ends: everything before (``hash``, ``key``), and ``copies`` rows of that key.
+
+    A missing ``hash`` selects the whole group; ``copies`` is None where all rows of the key are in.
+    """
+
+    hash: int | None = None
+    key: object = None
+    copies: int | None = 0
+
+
 class Cutoffs:
-    """Per-group selection limits: the ``quota`` smallest (hash, key) pairs of each group.
+    """Per-group selection limits: the ``quota`` first rows of each group by (hash, key).
 
     Membership is a row-local test against literals, so selecting needs no join, no sort and
-    no second scan.  Keys must be unique inside a group.
+    no second scan.  Only where a limit falls between rows that repeat one key are those few rows
+    counted off, in the order of their contents.
     """
 
-    def __init__(self, group: str | None, limits: dict):
+    def __init__(self, group: str | None, limits: dict[object, Limit]):
         self._group = group
         self._limits = limits
 
-    def test(self, hash60: Column, key: Column) -> Column:
-        """True for selected rows.  The limits sit in one CASE each, so the hash expression is
-        repeated twice however many groups there are."""
-        cut, last = F.lit(-1).cast("bigint"), F.lit(None)
-        for value, (limit, final) in self._limits.items():
-            # No limit keeps everything; a limit without a last key stops right before it.
-            at = 2**62 if limit is None else limit
-            if self._group is None:
-                cut, last = F.lit(at), F.lit(final)
-            else:
-                mine = F.col(self._group).eqNullSafe(F.lit(value))
-                cut, last = F.when(mine, F.lit(at)).otherwise(cut), F.when(mine, F.lit(final)).otherwise(last)
-        return (hash60 < cut) | ((hash60 == cut) & F.coalesce(key <= last, F.lit(False)))
+    def _by_group(self, value: Callable[[Limit], Column], default: Column) -> Column:
+        out = default
+        for name, limit in self._limits.items():
+            out = value(limit) if self._group is None else F.when(F.col(self._group).eqNullSafe(F.lit(name)), value(limit)).otherwise(out)
+        return out
+
+    def flag(self, df: DataFrame, hash60: Column, key: Column, out: str) -> DataFrame:
+        """``df`` plus ``out``: true for selected rows.  Exactly the quota of each group, or all its rows."""
+        kind = df.select(key.alias("k")).schema["k"].dataType
+        cut = self._by_group(lambda x: F.lit(2**62 if x.hash is None else x.hash), F.lit(-1).cast("bigint"))
+        last = self._by_group(lambda x: F.lit(x.key).cast(kind), F.lit(None).cast(kind))
+        copies = self._by_group(lambda x: F.lit(x.copies), F.lit(0))
+        at_limit = (hash60 == cut) & key.eqNullSafe(last)
+        before = (hash60 < cut) | ((hash60 == cut) & ((key.isNull() & last.isNotNull()) | F.coalesce(key < last, F.lit(False))))
+        shared = any(limit.copies for limit in self._limits.values())
+        if not shared:
+            return df.withColumn(out, before | (at_limit & copies.isNull()))
+        rest = df.where(~at_limit | copies.isNull()).withColumn(out, before | at_limit)
+        own = [self._group] if self._group else []
+        order = Window.partitionBy(*own).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+        edge = df.where(at_limit & copies.isNotNull()).withColumn("__n", F.row_number().over(order))
+        return rest.unionByName(edge.withColumn(out, F.col("__n") <= copies).drop("__n"))
 
 
 def quota_cutoffs(df: DataFrame, *, hash60: Column, key: Column, quota: int | dict, group: str | None = None) -> Cutoffs:
     """Find the limits that keep exactly ``quota`` rows (per group value, if grouped).
 
     One aggregate counts rows per hash cell; its running total names the cell where each
-    quota ends.  While that cell is still large it is cut into cells again; then its rows
-    are ranked.
+    quota ends.  While that cell is still large it is cut into cells again; then its keys are
+    counted and added up in order.
     """
     keys = [group] if group else []
     base = df.select(*keys, hash60.alias("__h"), key.alias("__k"))
     running = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    limits: dict = {}
+    limits: dict[object, Limit] = {}
     # Per group value still open: (low end of its cell, rows wanted inside the cell).
     open_cells: dict | None = None
     shift = 60
@@ -264,16 +289,16 @@ def quota_cutoffs(df: DataFrame, *, hash60: Column, key: Column, quota: int | di
                 ).alias("e")
             )
         )
-        rows = edge.limit(MAX_BROADCAST_GROUPS + 1).collect()
-        if len(rows) > MAX_BROADCAST_GROUPS:
-            raise ValueError("too many groups for literal cutoffs; use prefix_allocate")
+        rows = edge.limit(MAX_LITERAL_GROUPS + 1).collect()
+        if len(rows) > MAX_LITERAL_GROUPS:
+            raise TooManyGroups(f"more than {MAX_LITERAL_GROUPS} values of {group!r}")
         open_cells, largest = {}, 0
         for row in rows:
             value, e = row[group] if group else None, row["e"]
             if e is None:
-                limits[value] = (None, None)
+                limits[value] = Limit()
             elif e["left"] <= 0:
-                limits[value] = (e["__cell"] << shift, None)
+                limits[value] = Limit(e["__cell"] << shift)
             else:
                 open_cells[value] = (e["__cell"] << shift, e["left"])
                 largest = max(largest, e["n"])
@@ -282,19 +307,43 @@ def quota_cutoffs(df: DataFrame, *, hash60: Column, key: Column, quota: int | di
         if largest <= DIRECT_RANK_ROWS or shift <= _HASH_LEVEL_BITS:
             break
     inside, wanted = _open_rows(group, open_cells, quota, shift)
-    order = Window.partitionBy(*keys).orderBy("__h", "__k")
+    order = Window.partitionBy(*keys).orderBy("__h", "__k").rowsBetween(Window.unboundedPreceding, -1)
     last = (
         base.where(inside)
-        .withColumn("__n", F.row_number().over(order))
-        .where(F.col("__n") == wanted)
-        .select(*keys, "__h", "__k")
+        .groupBy(*keys, "__h", "__k")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("left", wanted - F.coalesce(F.sum("n").over(order), F.lit(0)))
+        .where((F.col("left") > 0) & (F.col("left") <= F.col("n")))
         .collect()
     )
     for row in last:
-        limits[row[group] if group else None] = (row["__h"], row["__k"])
+        copies = None if row["left"] == row["n"] else row["left"]
+        limits[row[group] if group else None] = Limit(row["__h"], row["__k"], copies)
     return Cutoffs(group, limits)
 
 
+class TooManyGroups(ValueError):
+    """A selection by literals is not for this many groups."""
+
+
+def flag_quota(df: DataFrame, *, hash60: Column, key: Column, quota: int | dict, out: str, group: str | None = None) -> DataFrame:
+    """``df`` plus ``out``: true for exactly ``quota`` rows (per group value), those with the smallest (hash, key).
+
+    Up to ``MAX_LITERAL_GROUPS`` groups are tested against literals; more groups take the
+    path in which each group's limit is a joined row.
+    """
+    try:
+        return quota_cutoffs(df, hash60=hash60, key=key, quota=quota, group=group).flag(df, hash60, key, out)
+    except TooManyGroups:
+        quotas: int | DataFrame = quota
+        if isinstance(quota, dict):
+            kind = df.schema[group].dataType.simpleString()
+            quotas = df.sparkSession.createDataFrame(list(quota.items()), f"`{group}` {kind}, quota bigint")
+        contents = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        taken = prefix_allocate(df, group=[group], quota=quotas, levels=hash_levels(hash60), tie=[hash60, key, contents], out="__taken")
+        return taken.withColumn(out, F.col("__taken") > 0).drop("__taken")
+
+
 def _open_rows(group: str | None, open_cells: dict | None, quota: int | dict, shift: int) -> tuple[Column, Column]:
     """Rows inside the open cells (all rows at first) and the quota that applies to them."""
     if open_cells is None:

@@ -245,7 +245,7 @@ def _key_columns(keys: DataFrame) -> list[Column]:
         F.col("label_source").alias("key_source"),
         F.col("refinement_reason").alias("key_reason"),
     ]
-    return columns + [F.col(c) for c in ("alloc", "cut") if c in keys.columns]
+    return columns + [F.col(c) for c in ("alloc", "cut", "cut_copies") if c in keys.columns]
 
 
 def attach_keys(events: DataFrame, keys: DataFrame, row_key: str = "row_id") -> DataFrame:
@@ -284,7 +284,7 @@ def with_cutoffs(events: DataFrame, keys: DataFrame, row_key: str = "row_id") ->
     found = partial.limit(_MAX_LISTED_KEYS + 1).collect()
     if not found:
         cut_type = events.select(order.alias("cut")).schema["cut"].dataType
-        return keys.withColumn("cut", F.lit(None).cast(cut_type))
+        return keys.withColumns({"cut": F.lit(None).cast(cut_type), "cut_copies": F.lit(None).cast("bigint")})
     listed = len(found) <= _MAX_LISTED_KEYS
     if listed:
         partial = F.broadcast(events.sparkSession.createDataFrame(found, partial.schema))
@@ -294,9 +294,12 @@ def with_cutoffs(events: DataFrame, keys: DataFrame, row_key: str = "row_id") ->
         .where(_negative())
         .select(*KEYS, "quota", "ts", row_key, order.alias("cut"))
     )
+    # Lines can be shipped twice, so an order position may hold several rows.
+    positions = rows.groupBy(*KEYS, "cut").agg(F.count(F.lit(1)).alias("there"), F.first("quota").alias("quota"))
     if listed and all(r["rows"] <= DIRECT_RANK_ROWS for r in found):
-        position = F.row_number().over(Window.partitionBy(*KEYS).orderBy("cut"))
-        cuts = rows.withColumn("__n", position).where(F.col("__n") == F.col("quota")).select(*KEYS, "cut")
+        order = Window.partitionBy(*KEYS).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+        positions = positions.withColumn("left", F.col("quota") - F.coalesce(F.sum("there").over(order), F.lit(0)))
+        cuts = positions.where((F.col("left") > 0) & (F.col("left") <= F.col("there")))
     else:
         taken = take_prefix(
             rows.drop("quota"),
@@ -305,7 +308,11 @@ def with_cutoffs(events: DataFrame, keys: DataFrame, row_key: str = "row_id") ->
             levels=[F.unix_millis("ts"), *hash_levels(hash60(F.col(row_key)))],
             tie=[F.col("cut")],
         )
-        cuts = taken.groupBy(*KEYS).agg(F.max("cut").alias("cut"))
+        taken = taken.groupBy(*KEYS, "cut").agg(F.count(F.lit(1)).alias("left"))
+        last = taken.groupBy(*KEYS).agg(F.max(F.struct("cut", "left")).alias("last")).select(*KEYS, "last.*")
+        cuts = last.join(positions.select(*KEYS, "cut", "there"), [*KEYS, "cut"])
+    copies = F.when(F.col("left") < F.col("there"), F.col("left")).cast("bigint")
+    cuts = cuts.select(*KEYS, "cut", copies.alias("cut_copies"))
     return keys.join(broadcast_if_small(cuts, _MAX_LISTED_KEYS), list(KEYS), "left")
 
 
@@ -313,17 +320,29 @@ def with_cutoffs(events: DataFrame, keys: DataFrame, row_key: str = "row_id") ->
 _MAX_LISTED_KEYS = 1_000
 
 
-def converted_flag(row_key: str = "row_id") -> Column:
-    """1 converts, 0 was cut by the cap, null is not up for conversion."""
+def mark_converted(attached: DataFrame, keys: DataFrame, row_key: str = "row_id") -> DataFrame:
+    """``attached`` plus ``converted``: 1 converts, 0 was cut by the cap, null is not up for conversion.
+
+    A row-local test, except where a key's cap falls between rows that repeat one line: those
+    are counted off.  ``keys`` says whether there are any.
+    """
     contested = _negative() & F.coalesce(F.col("key_target") == 1, F.lit(False))
-    inside = F.col("cut").isNull() | (_conversion_order(row_key) <= F.col("cut"))
-    return F.when(contested, ((F.col("alloc") > 0) & inside).cast("int"))
+    position = _conversion_order(row_key)
+    inside = F.col("cut").isNull() | (position <= F.col("cut"))
+    flag = F.when(contested, ((F.col("alloc") > 0) & inside).cast("int"))
+    if keys.where(F.col("cut_copies").isNotNull()).isEmpty():
+        return attached.withColumn("converted", flag).drop("cut_copies")
+    at_cut = contested & F.col("cut_copies").isNotNull() & F.coalesce(position == F.col("cut"), F.lit(False))
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.xxhash64(F.col(row_key))))
+    shared = attached.where(at_cut).withColumn("__n", place)
+    shared = shared.withColumn("converted", (F.col("__n") <= F.col("cut_copies")).cast("int")).drop("__n")
+    return attached.where(~at_cut).withColumn("converted", flag).unionByName(shared).drop("cut_copies")
 
 
 def cap_conversions(events: DataFrame, keys: DataFrame, row_key: str = "row_id") -> DataFrame:
     """Key outcome on every event, with each key limited to its ``alloc`` conversions."""
-    attached = attach_keys(events, with_cutoffs(events, keys, row_key), row_key)
-    return attached.withColumn("converted", converted_flag(row_key))
+    capped = with_cutoffs(events, keys, row_key)
+    return mark_converted(attach_keys(events, capped, row_key), capped, row_key)
 
 
 def final_labels(events: DataFrame) -> DataFrame:
@@ -397,4 +416,4 @@ def refine_labels(
         "window-lookup",
     )
     joined = _zero_outside(lookup_join(keyed, lookup, KEYS, weight="event_count_window", spread_by=[row_key]))
-    return final_labels(joined.withColumn("converted", converted_flag(row_key)) if capped else joined)
+    return final_labels(mark_converted(joined, lookup, row_key) if capped else joined)

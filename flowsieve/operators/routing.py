@@ -17,29 +17,42 @@ VALID_APPS = ("http", "tls", "dns", "ssh")
 DEFAULT_PORTS = {"dns": DNS_PORTS, "http": HTTP_PORTS, "tls": TLS_PORTS, "ssh": SSH_PORTS}
 
 
-def parse_ports(text: str) -> dict[str, tuple[int, ...]]:
-    """``app=p1,p2`` lines to a port table; every application must appear."""
-    out: dict[str, tuple[int, ...]] = {}
-    for raw in text.splitlines():
-        line = raw.strip()
-        if not line or line.startswith("#"):
-            continue
-        name, separator, listed = line.partition("=")
-        if not separator:
-            raise ValueError(f"expected app=ports, got {raw!r}")
-        app = name.strip().lower()
-        if app not in VALID_APPS:
-            raise ValueError(f"unknown application {app!r}")
-        ports = sorted({int(p) for p in listed.split(",") if p.strip()})
-        if not ports:
-            raise ValueError(f"no ports for {app!r}")
-        if ports[0] < 0 or ports[-1] > 65535:
-            raise ValueError(f"port out of range for {app!r}")
-        out[app] = tuple(ports)
-    missing = sorted(set(VALID_APPS) - set(out))
-    if missing:
-        raise ValueError(f"no ports given for {missing}")
-    return out
+def port_rows(lines: DataFrame) -> DataFrame:
+    """``app=p1,p2`` lines (column ``value``) as a row per listed port: ``line``, ``app``, ``port``.
+
+    Blank and commented lines are left out; a part that is no number has a null port, and a
+    line without ports one such row.
+    """
+    line = F.trim("value")
+    listed = F.filter(F.split(F.substring_index(line, "=", -1), ","), lambda p: F.trim(p) != "")
+    return lines.where((line != "") & ~line.startswith("#")).select(
+        line.alias("line"),
+        F.when(line.contains("="), F.lower(F.trim(F.substring_index(line, "=", 1)))).alias("app"),
+        F.explode_outer(listed).alias("port"),
+    ).withColumn("port", F.expr("try_cast(trim(port) AS int)"))
+
+
+def read_ports(lines: DataFrame) -> dict[str, tuple[int, ...]]:
+    """The port table of a configuration file; every application must appear.
+
+    One grouping returns a row per application named, with what is wrong with it.  Several lines
+    for an application add up.
+    """
+    known = F.coalesce(F.col("app").isin(*VALID_APPS), F.lit(False))
+    found = port_rows(lines).groupBy("app").agg(
+        F.max(~known).alias("unknown"),
+        F.max(~F.coalesce(F.col("port").between(0, 65535), F.lit(False))).alias("bad_port"),
+        F.max("line").alias("line"),
+        F.sort_array(F.collect_set("port")).alias("ports"),
+    )
+    table = {}
+    for row in found.collect():
+        if row["unknown"] or row["bad_port"]:
+            raise ValueError(f"{'unknown application' if row['unknown'] else 'ports missing or out of range'} in {row['line']!r}")
+        table[row["app"]] = tuple(row["ports"])
+    if set(table) != set(VALID_APPS):
+        raise ValueError(f"no ports given for {sorted(set(VALID_APPS) - set(table))}")
+    return table
 
 
 def _event_ports() -> Column:

@@ -1,7 +1,8 @@
 """Train/test splits and samples that do not depend on partitioning.
 
-Every selection orders rows by a seeded hash of a unique row key.  Selecting k rows keeps
-the k smallest hashes, so samples nest and repeat exactly on any cluster.
+Every selection orders rows by a seeded hash of a row key.  Selecting k rows keeps the k
+smallest, so samples nest and repeat exactly on any cluster.  A key may repeat, as in logs that
+ship lines twice: a limit that falls between rows of one key takes as many of them as are missing.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.hashing import seeded_hash60, unit_interval
 from flowsieve.functions.scalars import iso_utc
-from flowsieve.operators.allocate import Cutoffs, quota_cutoffs, rank_in_group
+from flowsieve.operators.allocate import flag_quota, rank_in_group
 from flowsieve.operators.quantiles import exact_quantiles
 
 TRAIN, TEST = "train", "test"
 
 
 def row_key(df: DataFrame) -> Column:
-    """Content hash for tables without a key; equal rows share it."""
+    """Content hash for tables without a key; equal rows share it, and selections count them."""
     return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).cast("binary"))
 
 
@@ -95,9 +96,8 @@ def _hash_and_key(seed: int, key: str) -> dict:
 def stratified_split(df: DataFrame, *, label: str, key: str, test_share: float = 0.3, seed: int = 42) -> DataFrame:
     """Exact per-class test share."""
     quota = _largest_remainder(class_counts(df, label), test_share)
-    order = _hash_and_key(seed, key)
-    cut = quota_cutoffs(df, quota=quota, group=label, **order)
-    return df.withColumn("split", F.when(cut.test(order["hash60"], order["key"]), TEST).otherwise(TRAIN))
+    flagged = flag_quota(df, quota=quota, group=label, out="__test", **_hash_and_key(seed, key))
+    return flagged.withColumn("split", F.when(F.col("__test"), TEST).otherwise(TRAIN)).drop("__test")
 
 
 def undersample(df: DataFrame, *, label: str, key: str, seed: int = 42) -> DataFrame:
@@ -108,16 +108,12 @@ def undersample(df: DataFrame, *, label: str, key: str, seed: int = 42) -> DataF
 
 def uniform_sample(df: DataFrame, k: int, *, key: str, seed: int = 42) -> DataFrame:
     """Exactly ``k`` rows (or all), whatever the class."""
-    order = _hash_and_key(seed, key)
-    cut = quota_cutoffs(df, quota=max(0, int(k)), **order)
-    return df.where(cut.test(order["hash60"], order["key"]))
+    return flag_quota(df, quota=max(0, int(k)), out="__in", **_hash_and_key(seed, key)).where("__in").drop("__in")
 
 
 def class_sample(df: DataFrame, *, label: str, key: str, per_class: int | dict, seed: int = 42) -> DataFrame:
     """Up to ``per_class`` rows of each class."""
-    order = _hash_and_key(seed, key)
-    cut = quota_cutoffs(df, quota=per_class, group=label, **order)
-    return df.where(cut.test(order["hash60"], order["key"]))
+    return flag_quota(df, quota=per_class, group=label, out="__in", **_hash_and_key(seed, key)).where("__in").drop("__in")
 
 
 SAMPLING_STRATEGIES = ("balanced", "stratified", "natural")
@@ -149,14 +145,12 @@ def sample_report(df: DataFrame, sample: DataFrame, *, label: str, requested: in
 
 
 def dual_holdout(df: DataFrame, *, label: str, key: str, natural_rows: int, per_class_rows: int, seed: int = 42) -> DataFrame:
-    """Natural and balanced holdout as two flags on the same rows, one scan for both."""
-    natural = _hash_and_key(seed, key)
-    balanced = _hash_and_key(seed + 1000, key)
-    n_cut: Cutoffs = quota_cutoffs(df, quota=natural_rows, **natural)
-    b_cut: Cutoffs = quota_cutoffs(df, quota=per_class_rows, group=label, **balanced)
-    return df.withColumns(
-        {"in_natural": n_cut.test(natural["hash60"], natural["key"]), "in_balanced": b_cut.test(balanced["hash60"], balanced["key"])}
-    )
+    """Natural and balanced holdout as two flags on the same rows.
+
+    Each flag takes an aggregate of its own to find its limits; the flags themselves are row-local.
+    """
+    flagged = flag_quota(df, quota=natural_rows, out="in_natural", **_hash_and_key(seed, key))
+    return flag_quota(flagged, quota=per_class_rows, group=label, out="in_balanced", **_hash_and_key(seed + 1000, key))
 
 
 def stratified_folds(df: DataFrame, *, label: str, key: str, folds: int, seed: int = 42) -> DataFrame:

@@ -59,7 +59,8 @@ def _route(spark, sf_dir):
 
 
 def _port_table(spark, sf_dir):
-    ports = routing.parse_ports("# ports\ndns=53\nhttp=80,8000,8008,8080,8888\ntls=443,8443\n\nssh=22\n")
+    text = "# ports\ndns=53\nhttp=80,8000,8008,8080,8888\ntls=443,8443\n\nssh=22\n"
+    ports = routing.read_ports(spark.createDataFrame([(line,) for line in text.split("\n")], "value string"))
     out = routing.route(event_records(spark, sf_dir), ports=ports).where(F.col("reason") == "port_fallback")
     return out.groupBy("app").agg(F.count(F.lit(1)).alias("by_port"))
 

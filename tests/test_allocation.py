@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.hashing import hash60
 from flowsieve.operators import allocate
-from flowsieve.operators.allocate import hash_levels, prefix_allocate, quota_cutoffs, rank_in_group, running_totals, take_prefix
+from flowsieve.operators.allocate import flag_quota, hash_levels, prefix_allocate, rank_in_group, running_totals, take_prefix
 from flowsieve.operators.joins import broadcast_if_small, lookup_join
 from flowsieve.operators.quantiles import exact_quantiles
 from tests.test_scalars import python_hash
@@ -91,10 +91,42 @@ def test_cutoffs(spark, monkeypatch, quota, limit, bits):
     df = spark.createDataFrame(rows, SCHEMA)
     h, key = hash60(F.col("key")), F.col("key")
     flat = [(k, g, 0, 1) for k, g, _, _ in rows]
-    cut = quota_cutoffs(df, hash60=h, key=key, quota=quota, group="grp")
-    assert {r["key"] for r in df.where(cut.test(h, key)).collect()} == {k for k, n in brute(flat, quota).items() if n}
-    whole = quota_cutoffs(df, hash60=h, key=key, quota=quota)
-    assert {r["key"] for r in df.where(whole.test(h, key)).collect()} == {k for k, n in brute(flat, quota, False).items() if n}
+    cut = flag_quota(df, hash60=h, key=key, quota=quota, group="grp", out="picked")
+    assert {r["key"] for r in cut.where("picked").collect()} == {k for k, n in brute(flat, quota).items() if n}
+    whole = flag_quota(df, hash60=h, key=key, quota=quota, out="picked")
+    assert {r["key"] for r in whole.where("picked").collect()} == {k for k, n in brute(flat, quota, False).items() if n}
+
+
+@pytest.mark.parametrize("groups", [1, 256])
+@pytest.mark.parametrize("quota", [1, 10, 50, 299, 1000])
+def test_repeated_keys_give_exact_quotas(spark, monkeypatch, quota, groups):
+    """100 keys three times each, and null keys; literal limits and joined ones."""
+    monkeypatch.setattr(allocate, "MAX_LITERAL_GROUPS", groups)
+    rows = [(f"k{i % 100}" if i % 100 else None, "ab"[i % 100 % 2], i) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, grp string, n int").repartition(5)
+    h, key = hash60(F.col("key")), F.col("key")
+    one = flag_quota(df, hash60=h, key=key, quota=quota, out="picked").where("picked")
+    assert one.count() == min(300, quota)
+    per = {r["grp"]: r["count"] for r in flag_quota(df, hash60=h, key=key, quota=quota, group="grp", out="picked").where("picked").groupBy("grp").count().collect()}
+    assert per == {"a": min(150, quota), "b": min(150, quota)}
+    uneven = flag_quota(df, hash60=h, key=key, quota={"a": quota, "b": 2}, group="grp", out="picked").where("picked")
+    assert {r["grp"]: r["count"] for r in uneven.groupBy("grp").count().collect()} == {"a": min(150, quota), "b": 2}
+    assert {r["n"] for r in one.collect()} <= {r["n"] for r in flag_quota(df, hash60=h, key=key, quota=quota + 7, out="p").where("p").collect()}
+
+
+def test_samples_and_splits_with_repeated_rows(spark):
+    from flowsieve.operators import sampling
+
+    rows = [(f"k{i % 40}", i % 40 % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "key string, label int")
+    assert sampling.uniform_sample(df, 10, key="key").count() == 10
+    assert [r["count"] for r in sampling.class_sample(df, label="label", key="key", per_class=10).groupBy("label").count().collect()] == [10, 10]
+    split = sampling.stratified_split(df, label="label", key="key", test_share=0.25)
+    assert {(r["split"], r["label"]): r["count"] for r in split.groupBy("split", "label").count().collect()} == {
+        ("test", 0): 15, ("test", 1): 15, ("train", 0): 45, ("train", 1): 45,
+    }
+    both = sampling.dual_holdout(df, label="label", key="key", natural_rows=50, per_class_rows=20)
+    assert both.where("in_natural").count() == 50 and both.where("in_balanced").count() == 40
 
 
 def test_samples_do_not_depend_on_partitions(spark):

@@ -109,12 +109,15 @@ def test_matched_ports(events):
     assert {r["row_id"] for r in routing.app_events(events, "tls").collect()} == {"proto", "type", "src", "dest", "two"}
 
 
-def test_ports_file():
+def test_ports_file(spark):
+    def read(text):
+        return routing.read_ports(spark.createDataFrame([(line,) for line in text.split("\n")], "value string"))
+
     text = "# c\n\ndns=53\nhttp=80, 8080\ntls=443\nssh=22"
-    assert routing.parse_ports(text)["http"] == (80, 8080)
+    assert read(text)["http"] == (80, 8080)
     for bad in ("dns=53", text + "\nftp=21", text.replace("22", "70000"), text.replace("=22", "="), text + "\nnothing"):
         with pytest.raises(ValueError):
-            routing.parse_ports(bad)
+            read(bad)
 
 
 def test_schema_registry():

@@ -127,6 +127,23 @@ def test_cap_takes_the_earliest_rows(spark, monkeypatch, rank_limit):
     assert rows["z0"]["label_source"] == "benign_no_evidence" and rows["z0"]["converted"] is None
 
 
+@pytest.mark.parametrize("listed", [0, 1_000])
+@pytest.mark.parametrize("budget", [7, 31, 32, 44, 60, 119])
+def test_cap_holds_when_lines_repeat(spark, monkeypatch, budget, listed):
+    """Every line three times: exactly the budget converts, whichever way the cut is found."""
+    monkeypatch.setattr(R, "_MAX_LISTED_KEYS", listed)
+    tripled = [(*row[:5], 3 * row[5]) for row in KEYS]
+    keys = R.allocate_budget(keys_frame(spark, tripled), budget)
+    events = event_rows(spark)
+    events = R.keyed_events(events.union(events).union(events), 5)
+    out = R.final_labels(R.cap_conversions(events, keys)).collect()
+    assert len(out) == 3 * 124
+    assert sum(r["converted"] == 1 for r in out) == budget
+    allocated = {r["src_ip"]: r["alloc"] for r in keys.collect()}
+    for ip, n in allocated.items():
+        assert sum(r["converted"] == 1 for r in out if r["src_ip"] == ip) == n
+
+
 def test_probe_scores_and_levels(spark):
     """Defaults 50/10/5: each part is capped at five."""
     wide = [("wide", BASE, f"1.1.1.{i % 100}", i % 60 + 1) for i in range(500)]
