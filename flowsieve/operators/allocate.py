@@ -5,8 +5,9 @@ It backs the conversion budget, the per-key cap, quota samples, exact stratified
 first-N caps.  The order is a list of bounded *levels* plus a final tie-break.  For each
 level one aggregate counts weight per (group, level value); the running total over that
 small table names the single level value per group where the quota runs out.  Rows before
-it are taken, rows after it are not, and only rows inside it go on to the next level.  What
-is left after the last level is ranked with an ordinary window.  The result depends only on
+it are taken, rows after it are not, and only rows inside it count at the next level.  The
+limits of all levels are then attached together, and what lies inside all of them is ranked
+with an ordinary window; the input is read once for the limits and twice for the result.  The result depends only on
 row contents, so it is the same for any partitioning, and a smaller quota always selects a
 subset of a larger one.
 """
@@ -85,15 +86,16 @@ def prefix_allocate(
         *[level.alias(name) for level, name in zip(levels, names)],
     )
     if isinstance(quota, DataFrame):
-        quota_frame = quota.select(*group, F.col("quota").cast("bigint").alias("quota"))
+        remaining = quota.select(*group, F.col("quota").cast("bigint").alias("quota"))
+        collected = remaining.limit(1).collect() if not group else None
     else:
-        quota_frame = None
+        remaining, collected = None, None
 
-    candidates = base
-    decided: list[DataFrame] = []
-    remaining = quota_frame
-    collected: list | None = quota_frame.limit(1).collect() if quota_frame is not None and not group else None
-    for depth, name in enumerate(names):
+    # The limits are found on the narrow columns, which are read once.
+    narrow = base.select(*group, "__w", *names).persist()
+    candidates = narrow
+    edges_by_level: list[tuple[DataFrame, list | None]] = []
+    for name in names:
         counts = candidates.groupBy(*group, name).agg(F.sum("__w").alias("w"), F.count(F.lit(1)).alias("n"))
         running = Window.partitionBy(*group).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("before", F.coalesce(F.sum("w").over(running), F.lit(0)))
@@ -110,7 +112,7 @@ def prefix_allocate(
             )
             .select(
                 *group,
-                F.col(f"e.{name}").alias("__edge"),
+                F.col(f"e.{name}").alias(f"__at{name}"),
                 F.greatest(F.col("e.left"), F.lit(0)).cast("bigint").alias("quota"),
                 F.col("e.n").alias("__edge_rows"),
             )
@@ -120,36 +122,39 @@ def prefix_allocate(
         if len(collected) <= MAX_BROADCAST_GROUPS:
             edges = spark.createDataFrame(collected, edges.schema)
         else:
-            collected = None
-        joined = _attach(candidates, edges.drop("__edge_rows"), group, collected)
-        position = F.col(name)
-        decided.append(
-            joined.where(F.col("__edge").isNull() | (position != F.col("__edge")))
-            .withColumn(
-                out,
-                F.when(F.col("__edge").isNull() | (position < F.col("__edge")), F.col("__w")).otherwise(
-                    F.lit(0).cast("bigint")
-                ),
-            )
-            .drop("__edge", "quota")
-        )
-        candidates = joined.where(position == F.col("__edge")).drop("__edge", "quota")
+            # Kept with the session: the levels below and the result build on it.
+            edges, collected = edges.persist(), None
         remaining = edges.select(*group, "quota")
+        edges_by_level.append((edges.select(*group, f"__at{name}"), collected))
         if collected is not None and all((row["__edge_rows"] or 0) <= DIRECT_RANK_ROWS for row in collected):
             break
-
+        joined = _attach(candidates, edges.select(*group, f"__at{name}"), group, collected)
+        candidates = joined.where(F.col(name) == F.col(f"__at{name}")).drop(f"__at{name}")
+    if all(found is not None for _, found in edges_by_level):
+        narrow.unpersist()
+
+    # One look at each row: before the limit of some level, past it, or still inside after all of them.
+    rows = base
+    given = F.lit(None).cast("bigint")
+    for (edges, found), name in reversed(list(zip(edges_by_level, names))):
+        rows = _attach(rows, edges, group, found)
+        at = F.col(f"__at{name}")
+        given = (
+            F.when(at.isNull() | (F.col(name) < at), F.col("__w")).when(F.col(name) > at, F.lit(0).cast("bigint")).otherwise(given)
+        )
+    rows = rows.withColumn(out, given).drop(*[f"__at{name}" for name in names])
     order = Window.partitionBy(*group).orderBy(*names, *tie).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.where(F.col(out).isNull())
     if remaining is None:
-        ranked = candidates.withColumn("quota", F.lit(int(quota)).cast("bigint"))
+        inside = inside.withColumn("quota", F.lit(int(quota)).cast("bigint"))
     else:
-        ranked = _attach(candidates, remaining, group, collected)
+        inside = _attach(inside, remaining, group, collected)
     before = F.coalesce(F.sum("__w").over(order), F.lit(0))
-    ranked = ranked.withColumn(
+    inside = inside.withColumn(
         out,
         F.greatest(F.lit(0), F.least(F.col("__w"), F.coalesce("quota", F.lit(0)) - before)).cast("bigint"),
     ).drop("quota")
-    parts = [part.drop("__w", *names) for part in (*decided, ranked)]
-    return reduce(DataFrame.unionByName, parts)
+    return rows.where(F.col(out).isNotNull()).unionByName(inside).drop("__w", *names)
 
 
 def take_prefix(df: DataFrame, **kwargs) -> DataFrame:
@@ -192,6 +197,8 @@ def running_totals(df: DataFrame, *, order_by: str, sums: Sequence[str], cells:
     """
     from pyspark.ml.feature import Bucketizer
 
+    # Three passes read it, and the result builds on it.
+    df = df.persist()
     points = df.approxQuantile(order_by, [i / cells for i in range(1, cells)], 0.25 / cells)
     splits = [float("-inf"), *sorted(set(points)), float("inf")]
     if len(splits) < 3:

@@ -115,19 +115,21 @@ def fit_predict(pipeline: Pipeline, train: DataFrame, test: DataFrame, *, label:
 
 
 def score_metrics(predictions: DataFrame, label: str) -> dict[str, float]:
-    """Attack-class metrics and AUC of one prediction table as numbers."""
-    counts = evaluation.attack_metrics(predictions, label, "prediction").first().asDict()
-    auc = evaluation.roc_auc(predictions, label, "score").first()["auc"]
+    """Attack-class metrics and AUC of one prediction table as numbers; the model is applied once."""
+    narrow = predictions.select(label, "prediction", "score").persist()
+    counts = evaluation.attack_metrics(narrow, label, "prediction").first().asDict()
+    auc = evaluation.roc_auc(narrow, label, "score").first()["auc"]
+    narrow.unpersist()
     return {**{m: counts[m] for m in evaluation.METRICS if m in counts}, "auc": auc}
 
 
-def cross_validate(df: DataFrame, make: Callable[[], Pipeline], *, label: str, key: str, folds: int = 2, seed: int = 42, weighted: bool = True) -> DataFrame:
-    """Stratified k-fold metrics, one row per fold."""
+def cross_validate(df: DataFrame, make: Callable[[int], Pipeline], *, label: str, key: str, folds: int = 2, seed: int = 42, weighted: bool = True) -> DataFrame:
+    """Stratified k-fold metrics, one row per fold.  ``make`` gets the number of rows it will be fitted on."""
     folded = stratified_folds(df, label=label, key=key, folds=folds, seed=seed).persist()
     rows = []
     for fold in range(folds):
         train, valid = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        _, predictions = fit_predict(make(), train, valid, label=label, weighted=weighted)
+        _, predictions = fit_predict(make(train.count()), train, valid, label=label, weighted=weighted)
         metrics = score_metrics(predictions, label)
         rows.append((fold, *[float(metrics[m]) for m in evaluation.METRICS]))
     folded.unpersist()
@@ -137,7 +139,7 @@ def cross_validate(df: DataFrame, make: Callable[[], Pipeline], *, label: str, k
 
 def learning_curve(
     df: DataFrame,
-    make: Callable[[], Pipeline],
+    make: Callable[[int], Pipeline],
     *,
     label: str,
     key: str,
@@ -158,9 +160,9 @@ def learning_curve(
         for fold in range(folds):
             pool, valid = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
             part = pool.where(position < fraction)
-            model, on_valid = fit_predict(make(), part, valid, label=label, weighted=weighted)
-            on_train = model.transform(part).withColumn("prediction", F.col("prediction").cast("int"))
             n = part.count()
+            model, on_valid = fit_predict(make(n), part, valid, label=label, weighted=weighted)
+            on_train = model.transform(part).withColumn("prediction", F.col("prediction").cast("int"))
             scores = [
                 float(evaluation.weighted_metrics(p, label, "prediction").first()["f1"]) for p in (on_train, on_valid)
             ]
@@ -220,18 +222,19 @@ def _nearest(test: pd.DataFrame, train: pd.DataFrame, k: int) -> pd.DataFrame:
         queries = np.stack(part["x"].to_numpy())
         squared = np.einsum("ij,ij->i", queries, queries)[:, None] + norms[None, :] - 2.0 * (queries @ points.T)
         kth = min(k, squared.shape[1]) - 1
-        limit = np.partition(squared, kth, axis=1)[:, kth] + 1e-9
-        for row, key in enumerate(part["key"].to_numpy()):
-            chosen = np.flatnonzero(squared[row] <= limit[row])
-            exact = np.sqrt(((points[chosen] - queries[row]) ** 2).sum(axis=1)).round(_DISTANCE_DECIMALS)
-            order = np.lexsort((keys[chosen], exact))[:k]
-            out_keys.append(key)
-            out.append(
-                [
-                    {"distance": float(exact[i]), "key": keys[chosen[i]].item() if hasattr(keys[chosen[i]], "item") else keys[chosen[i]], "label": int(classes[chosen[i]])}
-                    for i in order
-                ]
-            )
+        # Everything as near as the k-th is a candidate, so that ties are decided by key; a row has at most ``most``.
+        limit = np.partition(squared, kth, axis=1)[:, kth, None] + 1e-9
+        most = int((squared <= limit).sum(axis=1).max())
+        chosen = np.argpartition(squared, min(most, squared.shape[1]) - 1, axis=1)[:, :most]
+        exact = np.sqrt(((points[chosen] - queries[:, None, :]) ** 2).sum(axis=2)).round(_DISTANCE_DECIMALS)
+        order = np.lexsort((keys[chosen], exact), axis=1)[:, :k]
+        chosen, exact = np.take_along_axis(chosen, order, 1), np.take_along_axis(exact, order, 1)
+        out_keys += part["key"].tolist()
+        near_keys, near_classes = keys[chosen].tolist(), classes[chosen].tolist()
+        out += [
+            [{"distance": d, "key": n, "label": int(c)} for d, n, c in zip(*row)]
+            for row in zip(exact.tolist(), near_keys, near_classes)
+        ]
     return pd.DataFrame({"key": out_keys, "near": out})
 
 

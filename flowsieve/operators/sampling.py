@@ -150,7 +150,12 @@ def dual_holdout(df: DataFrame, *, label: str, key: str, natural_rows: int, per_
     Each flag takes an aggregate of its own to find its limits; the flags themselves are row-local.
     """
     flagged = flag_quota(df, quota=natural_rows, out="in_natural", **_hash_and_key(seed, key))
-    return flag_quota(flagged, quota=per_class_rows, group=label, out="in_balanced", **_hash_and_key(seed + 1000, key))
+    return balanced_flag(flagged, label=label, key=key, per_class_rows=per_class_rows, seed=seed)
+
+
+def balanced_flag(df: DataFrame, *, label: str, key: str, per_class_rows: int, seed: int = 42) -> DataFrame:
+    """The balanced holdout alone, ``in_balanced``: up to ``per_class_rows`` rows of each class."""
+    return flag_quota(df, quota=per_class_rows, group=label, out="in_balanced", **_hash_and_key(seed + 1000, key))
 
 
 def stratified_folds(df: DataFrame, *, label: str, key: str, folds: int, seed: int = 42) -> DataFrame:

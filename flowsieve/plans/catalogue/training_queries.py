@@ -59,8 +59,8 @@ def _scaled(spark, sf_dir):
 
 def _cross_validated(spark, sf_dir):
     rows = flow_table(spark, sf_dir)
-    make = lambda: M.build_pipeline("DT", FEATURES, label=LABEL, depth=5)
-    folds = M.cross_validate(rows, make, label=LABEL, key=KEY, folds=3)
+    make = lambda n: M.build_pipeline("DT", FEATURES, label=LABEL, rows=n)
+    folds = M.cross_validate(rows, make, label=LABEL, key=KEY, folds=5)
     return E.mean_and_deviation(folds, [])
 
 
@@ -70,8 +70,8 @@ def _folds(spark, sf_dir):
 
 def _curve(spark, sf_dir):
     rows = flow_table(spark, sf_dir)
-    make = lambda: M.build_pipeline("DT", FEATURES, label=LABEL, depth=4, weighted=False)
-    return M.learning_curve(rows, make, label=LABEL, key=KEY, fractions=(0.2, 0.6, 1.0), folds=2)
+    make = lambda n: M.build_pipeline("DT", FEATURES, label=LABEL, weighted=False, rows=n)
+    return M.learning_curve(rows, make, label=LABEL, key=KEY, fractions=(0.2, 0.4, 0.6, 0.8, 1.0), folds=3)
 
 
 def _vectors(spark, sf_dir):
@@ -96,7 +96,7 @@ def _rbf(spark, sf_dir):
 
 def _importance(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
-    pipeline = M.build_pipeline("LR", FEATURES, label=LABEL, weighted=False, rows=1000, max_iter=20)
+    pipeline = M.build_pipeline("LR", FEATURES, label=LABEL, weighted=False, rows=train.count())
     return M.importance_table(spark, M.feature_importance(pipeline.fit(train), FEATURES))
 
 
@@ -104,7 +104,7 @@ def _registered(spark, sf_dir):
     """One registered method end to end: split, balance, scale, fit, report."""
     method = registry.get("flow.forest")
     rows = flow_table(spark, sf_dir)
-    result = method.run(rows, label=LABEL, key=KEY, features=FEATURES, overrides={"n_estimators": 6, "max_depth": 5})
+    result = method.run(rows, label=LABEL, key=KEY, features=FEATURES)
     return result.metrics
 
 
@@ -113,9 +113,6 @@ EVENT_JOB = event_job.EventJobSettings(
     train_rows=1_000_000,
     top_features=8,
     components=4,
-    methods=("MI",),
-    model_names=("DT", "LSVC"),
-    model_sizes={"DT": {"depth": 4}, "LSVC": {"max_iter": 5}},
     selection_trees=4,
 )
 
@@ -129,7 +126,7 @@ def _event_features(spark, sf_dir):
 
 
 def _event_job(spark, sf_dir):
-    out = event_job.EventMethod("event.tree", "tree", "DT", {"max_depth": 4}).run(event_records(spark, sf_dir), settings=EVENT_JOB)
+    out = event_job.EventMethod("event.tree", "tree", "DT", {"max_depth": M.TREE_DEPTH}).run(event_records(spark, sf_dir), settings=EVENT_JOB)
     return out.results.select("App", "Method", "Model", *[f"natural_holdout_{m}" for m in E.METRICS])
 
 
@@ -153,12 +150,12 @@ _SCALED_SQL = (
 
 QUERIES = [
     Query("j9_scaled_on_train", _scaled, _SCALED_SQL),
-    Query("j10_decision_tree", _metrics_of("DT", depth=8)),
-    Query("j11_random_forest", _metrics_of("RFC", trees=10, depth=6)),
-    Query("j12_linear_svc", _metrics_of("LSVC", max_iter=10)),
-    Query("j13_boosted_trees", _metrics_of("XGB", weighted=False, rounds=4, depth=4)),
+    Query("j10_decision_tree", _metrics_of("DT")),
+    Query("j11_random_forest", _metrics_of("RFC")),
+    Query("j12_linear_svc", _metrics_of("LSVC")),
+    Query("j13_boosted_trees", _metrics_of("XGB", weighted=False)),
     Query("j14_gaussian_naive_bayes", _metrics_of("NB", weighted=False)),
-    Query("j15_logistic_regression", _metrics_of("LR", weighted=False, max_iter=50)),
+    Query("j15_logistic_regression", _metrics_of("LR", weighted=False)),
     Query("j16_nearest_neighbours", _knn, _KNN_SQL),
     Query("j17_rbf_svc_approx", _rbf),
     Query("j18_stratified_folds", _folds, _FOLD_SQL),

@@ -71,6 +71,8 @@ class MethodResult:
     features: list[str]
     importance: list[tuple[str, float]] = field(default_factory=list)
     auc: float = 0.5
+    roc: DataFrame | None = None
+    learning: DataFrame | None = None
     label_mapping: Mapping[int, str] = field(default_factory=lambda: {0: "Benign", 1: "Malicious"})
 
 
@@ -155,8 +157,13 @@ class FlowMethod:
         features: Sequence[str] | None = None,
         overrides: Mapping[str, Any] | None = None,
         progress: Progress | None = None,
+        with_learning_curve: bool = False,
     ) -> MethodResult:
-        """``key`` names a unique row key; all numeric columns but it are features by default."""
+        """``key`` names a row key; all numeric columns but it are features by default.
+
+        Predictions are kept with the session, so the model is applied once for all tables.  The learning
+        curve takes a fit per fraction and fold and is made on request, for methods of one pipeline.
+        """
         say = progress or (lambda stage: None)
         params = resolve_params(self.params, overrides)
         seed = params.get("random_state", 42)
@@ -179,6 +186,12 @@ class FlowMethod:
         say("Training")
         model, predictions = self._fit(train, test, inputs, label, key, params, seed)
         say("Evaluating")
+        predictions = predictions.persist()
+        learning = None
+        if with_learning_curve and self.model not in ("KNN", "RBF") and self.pca_share is None:
+            learning = models.learning_curve(
+                train, lambda n: self._pipeline(inputs, label, params, seed, n), label=label, key=key, seed=seed
+            )
         return MethodResult(
             metrics=evaluation.weighted_metrics(predictions, label, "prediction"),
             confusion=evaluation.confusion_counts(predictions, label, "prediction"),
@@ -188,21 +201,25 @@ class FlowMethod:
             features=names,
             importance=[] if model is None or self.model in ("KNN", "RBF") else models.feature_importance(model, names),
             auc=evaluation.roc_auc(predictions, label, "score").first()["auc"],
+            roc=evaluation.roc_curve(predictions, label, "score"),
+            learning=learning,
         )
 
+    def _pipeline(self, inputs, label, params, seed, rows):
+        sizes = {"trees": params.get("n_estimators"), "depth": params.get("max_depth"), "max_iter": params.get("max_iter")}
+        over = {k: v for k, v in sizes.items() if v is not None}
+        return models.build_pipeline(self.model, inputs, label=label, seed=seed, scaled=self.scaled, weighted=False, rows=rows, **over)
+
     def _fit(self, train, test, inputs, label, key, params, seed):
         if self.model == "KNN":
             return _fit_knn(train, test, inputs, label, key, params["n_neighbors"])
         if self.model == "RBF":
             fitted = models.fit_rbf_svc_approx(train, inputs, label=label, seed=seed)
             return fitted, fitted.transform(test)
-        sizes = {"trees": params.get("n_estimators"), "depth": params.get("max_depth"), "max_iter": params.get("max_iter")}
-        over = {k: v for k, v in sizes.items() if v is not None}
         if self.pca_share is None:
-            pipeline = models.build_pipeline(
-                self.model, inputs, label=label, seed=seed, scaled=self.scaled, weighted=False, rows=train.count(), **over
-            )
+            pipeline = self._pipeline(inputs, label, params, seed, train.count())
             return models.fit_predict(pipeline, train, test, label=label, weighted=False)
+        over = {"max_iter": params["max_iter"]} if "max_iter" in params else {}
         projection, k = selection.fit_pca_share(train, inputs, self.pca_share)
         estimator = models.build_model(self.model, label=label, seed=seed, weighted=False, rows=train.count(), **over)
         fitted = estimator.fit(selection.take_components(projection.transform(train), k))

@@ -61,6 +61,67 @@ def test_event_job(feature_rows):
     assert [r.asDict() for r in again.results.collect()] == [r.asDict() for r in rows if r["Method"] == "MI"]
 
 
+def test_job_tables(feature_rows, tmp_path):
+    result = event_job.train_and_evaluate(feature_rows, replace(SETTINGS, methods=("MI",)))
+    assert {"split", "coverage", "confusion", "roc", "importances"} <= set(result.tables)
+    holdout = feature_rows.where(F.col("split") == "test")
+    cells = result.tables["confusion"].groupBy("holdout").agg(F.sum("n").alias("n")).collect()
+    per_class = [r["count"] for r in holdout.groupBy("Target_refined").count().collect()]
+    # Without a size the natural holdout is the whole test side, the balanced one its largest balanced part.
+    assert {r["holdout"]: r["n"] for r in cells} == {"natural": sum(per_class), "balanced": 2 * min(per_class)}
+    ends = result.tables["roc"].groupBy("holdout").agg(F.max("tpr").alias("top")).collect()
+    assert all(r["top"] == 1.0 for r in ends)
+    assert result.tables["importances"].count() == len(result.feature_sets["MI"])
+    written = event_job.save_result(result, str(tmp_path), "r1")
+    again = event_job.save_result(result, str(tmp_path), "r2")
+    spark = feature_rows.sparkSession
+    runs = spark.read.parquet(written["metrics"]).groupBy("run_id").count().collect()
+    assert {r["run_id"]: r["count"] for r in runs} == {"r1": 1, "r2": 1}
+    assert again["model"] != written["model"]
+
+
+def test_penalty_follows_the_fitted_rows(feature_rows):
+    seen = []
+
+    def make(n):
+        pipeline = models.build_pipeline("LSVC", ["event_count_window"], label="Target_refined", rows=n, max_iter=2)
+        seen.append((n, pipeline.getStages()[-1].getRegParam()))
+        return pipeline
+
+    models.cross_validate(feature_rows, make, label="Target_refined", key="row_id", folds=2)
+    total = feature_rows.count()
+    assert abs(sum(n for n, _ in seen) - total) <= 2 and all(reg == 1 / n for n, reg in seen)
+
+
+def test_no_two_features_give_a_forbidden_one(feature_rows):
+    names = set(event_job.modeling_features(feature_rows))
+    assert not names & set(manifest.REBUILDS_FORBIDDEN)
+    assert not {"event_count_window", "no_alert_count_window"} <= names
+
+
+@pytest.mark.parametrize("split", ["group", "row", "random_stratified", "time_based"])
+def test_split_choice(feature_rows, split):
+    rows = event_job.split_rows(feature_rows.drop("split"), replace(SETTINGS, split=split))
+    assert {r["split"] for r in rows.select("split").distinct().collect()} == {"train", "test"}
+    with pytest.raises(ValueError):
+        event_job.split_rows(feature_rows, replace(SETTINGS, split="other"))
+
+
+def test_job_from_lines(spark, tmp_path, sf_dir):
+    """Counts and quarantine of unreadable lines; windows, drops and budget as tables."""
+    from flowsieve.plans.stand_in import write_event_lines
+    from flowsieve.sources import event_log
+
+    path = write_event_lines(spark, sf_dir)
+    settings = replace(SETTINGS, methods=("MI",))
+    result = event_job.run_event_job(spark, path, settings, quarantine=str(tmp_path / "q"), save_to=str(tmp_path / "runs"))
+    want = event_log.line_counts(event_log.read_lines(spark, path)).first()
+    assert result.tables["lines"].first() == want and want["malformed_lines"] > 0
+    assert spark.read.parquet(str(tmp_path / "q")).count() == want["malformed_lines"]
+    assert result.tables["probes"].count() > 0 and result.tables["budget"].count() == 1
+    assert spark.read.parquet(str(tmp_path / "runs" / "lines")).count() == 1
+
+
 def test_skips_instead_of_failing(feature_rows):
     one_class = feature_rows.where(F.col("Target_refined") == 0)
     assert event_job.train_and_evaluate(one_class, SETTINGS).status == E.SKIP_ONE_CLASS
@@ -174,7 +235,7 @@ def test_folds_and_curve(spark, sf_dir):
     for label, n in by_class.items():
         parts = [r["count"] for r in folded.where(F.col("Label") == label).groupBy("fold").count().collect()]
         assert max(parts) - min(parts) <= 1 and sum(parts) == n
-    make = lambda: models.build_pipeline("NB", ["l_quantity", "l_tax"], label="Label", weighted=False)
+    make = lambda n: models.build_pipeline("NB", ["l_quantity", "l_tax"], label="Label", weighted=False)
     curve = models.learning_curve(rows, make, label="Label", key="row_key", fractions=(0.3, 1.0), folds=2).orderBy("fraction").collect()
     assert curve[0]["train_rows"] < curve[1]["train_rows"]
 
