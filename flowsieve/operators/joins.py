@@ -36,7 +36,8 @@ def lookup_join(
 
     ``weight`` counts the fact rows per key, so hot keys are known before the join.  The
     ``max_hot_keys`` heaviest of them (a bounded, broadcast table) are split over several
-    partitions: fact rows take a salt from a hash of ``spread_by`` and the lookup row is
+    partitions; any key beyond them has less than one ``max_hot_keys``-th of all rows, which
+    is no more than an even share of as many tasks: fact rows take a salt from a hash of ``spread_by`` and the lookup row is
     repeated per salt.  All other keys use salt 0, and without any hot key the join is a
     plain one.  Fact rows with a null key match nothing and are spread evenly as well.
     """

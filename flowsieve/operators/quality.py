@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,6 @@ from flowsieve.sources.schemas import DatasetType
 
 PASS, WARN, FAIL, SKIP = "pass", "warn", "fail", "skip"
 CHECKS = ("format", "label", "features", "dtype", "classes")
-MAX_LISTED = 10
 
 
 def column_conformance(df: DataFrame, expected: Sequence[str]) -> DataFrame:
@@ -43,13 +43,19 @@ def label_facts(df: DataFrame, label: str) -> DataFrame:
 
 
 def label_summary(df: DataFrame, label: str) -> DataFrame:
-    """Row count and the distinct labels as text.
+    """One row per distinct label and one for the whole table, from one aggregate.
 
-    Labels are grouped first, so the final list holds distinct values only.
+    However many labels there are, no task holds them all.
     """
-    grouped = label_facts(df, label)
-    listed = F.array_join(F.array_sort(F.collect_list("label")), ",")
-    return grouped.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), listed.alias("labels"))
+    rows = df.select(F.col(f"`{label}`").cast("string").alias("label")).rollup("label")
+    return rows.agg(F.count(F.lit(1)).alias("rows"), (F.grouping("label") == 1).alias("whole_table"))
+
+
+def diagnose_types(df: DataFrame, datasets: Sequence[DatasetType], **options) -> DataFrame:
+    """The checks of every table type; each label column is counted once, not once per type."""
+    labels_there = sorted({d.label for d in datasets} & set(df.columns))
+    classes = {label: class_range(df, label) for label in labels_there}
+    return reduce(DataFrame.unionByName, [diagnose_table(df, d, classes=classes, **options) for d in datasets])
 
 
 def _tls_row(ports: Sequence[int]) -> F.Column:
@@ -142,13 +148,26 @@ def _status_rows(spark, dataset: str, checks: Sequence[tuple]) -> DataFrame:
 
 
 def _listed(values) -> str:
-    return ",".join(str(v) for v in list(values)[:MAX_LISTED])
+    return ",".join(str(v) for v in values)
+
 
+def class_range(df: DataFrame, label: str) -> tuple[int, list[str]]:
+    """How many classes there are, with the first and the last of them; the full list is ``label_facts``."""
+    present = label_facts(df.where(F.col(f"`{label}`").isNotNull()), label)
+    row = present.agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("first"), F.max("label").alias("last")).first()
+    return row["n"], list(dict.fromkeys(v for v in (row["first"], row["last"]) if v is not None))
 
-def diagnose_table(df: DataFrame, dataset: DatasetType, file_format: str = "csv", dropped: Sequence[str] = ()) -> DataFrame:
+
+def diagnose_table(
+    df: DataFrame,
+    dataset: DatasetType,
+    file_format: str = "csv",
+    dropped: Sequence[str] = (),
+    classes: Mapping[str, tuple[int, list[str]]] | None = None,
+) -> DataFrame:
     """Five checks of a table against a table type: one row per check.
 
-    Needs one job, the label counts; everything else follows from the schema.
+    Needs one job, the label counts, unless ``classes`` has them; everything else follows from the schema.
     """
     spark = df.sparkSession
     if file_format != dataset.file_format:
@@ -171,9 +190,7 @@ def diagnose_table(df: DataFrame, dataset: DatasetType, file_format: str = "csv"
         checks.append(("features", FAIL, len(absent), _listed(absent)) if absent else ("features", PASS, len(features), ""))
         checks.append(("dtype", WARN, len(text), _listed(text)) if text else ("dtype", PASS, 0, ""))
     if labelled:
-        present = label_facts(df.where(F.col(f"`{dataset.label}`").isNotNull()), dataset.label)
-        kinds = present.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-        shown = [r["label"] for r in present.orderBy("label").limit(MAX_LISTED).collect()]
+        kinds, shown = (classes or {}).get(dataset.label) or class_range(df, dataset.label)
         checks.append(("classes", PASS if kinds >= 2 else FAIL, kinds, _listed(shown)))
     else:
         checks.append(("classes", SKIP, 0, ""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -191,37 +192,41 @@ def probe_records(events: DataFrame, settings: ProbeSettings = ProbeSettings())
     return add_levels(scored, level_cuts(scored, settings), settings)
 
 
-def top_values_per_window(events: DataFrame, value: Column, settings: ProbeSettings, n: int = 10) -> DataFrame:
-    """The ``n`` most frequent values per window, ties by value, as an ordered array.
+def top_values_per_window(events: DataFrame, values: Mapping[str, tuple[Column, int]], settings: ProbeSettings) -> DataFrame:
+    """Per window and named field the most frequent values, ties by value, as an ordered array.
 
-    Counts per (window, source, value) come first, so the ranking sees distinct values
-    only, and the per-group limit is pushed below the shuffle.
+    ``values`` gives each field's column and how many values to keep.  All fields share one scan: counts per
+    (window, source, field, value) come first, so the ranking sees distinct values only, and the
+    per-group limit is pushed below the shuffle.  A field without a value in a window is null.
     """
+    entries = F.array(
+        *[F.struct(F.lit(name).alias("field"), column.cast("string").alias("value")) for name, (column, _) in values.items()]
+    )
     counted = (
         add_window(usable_events(events), settings.window_minutes)
-        .select("window_start", F.trim("src_ip").alias("src_ip"), value.alias("value"))
+        .select("window_start", F.trim("src_ip").alias("src_ip"), F.explode(entries).alias("x"))
+        .select(*KEYS, "x.*")
         .where(F.col("value").isNotNull())
-        .groupBy(*KEYS, "value")
+        .groupBy(*KEYS, "field", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    order = Window.partitionBy(*KEYS).orderBy(F.col("n").desc(), F.col("value"))
-    top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    ordered = F.sort_array(F.collect_list(F.struct("rank", "value", "n")))
-    return top.groupBy(*KEYS).agg(
-        F.transform(ordered, lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias("top")
-    )
+    order = Window.partitionBy(*KEYS, "field").orderBy(F.col("n").desc(), F.col("value"))
+    top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(n for _, n in values.values()))
+
+    def best(name: str, n: int) -> Column:
+        mine = (F.col("field") == name) & (F.col("rank") <= n)
+        found = F.sort_array(F.collect_list(F.when(mine, F.struct("rank", "value", "n"))))
+        pairs = F.transform(found, lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n")))
+        return F.when(F.size(pairs) > 0, pairs).alias(name)
+
+    return top.groupBy(*KEYS).agg(*[best(name, n) for name, (_, n) in values.items()])
 
 
 def top_ports_and_types(events: DataFrame, settings: ProbeSettings, n: int = 10) -> DataFrame:
-    """Both per-window counters as maps, joined on the window key."""
+    """Both per-window counters as maps."""
     port = lenient_int(F.col("dest_port"))
-    as_map = F.map_from_entries(F.col("top"))
-    ports = top_values_per_window(events, F.when(port > 0, port).cast("string"), settings, n)
-    types = top_values_per_window(events, text_or(F.col("event_type"), "unknown"), settings, n)
-    return (
-        types.select(*KEYS, as_map.alias("top_event_types"))
-        .join(ports.select(*KEYS, as_map.alias("top_dest_ports")), list(KEYS), "left")
-    )
+    fields = {"top_event_types": (text_or(F.col("event_type"), "unknown"), n), "top_dest_ports": (F.when(port > 0, port), n)}
+    return top_values_per_window(events, fields, settings).select(*KEYS, *[F.map_from_entries(c).alias(c) for c in fields])
 
 
 def alert_windows(records: DataFrame) -> DataFrame:

@@ -63,8 +63,7 @@ def _diagnose_log(spark, sf_dir):
 
 def _diagnose_all(spark, sf_dir):
     rows = flow_table(spark, sf_dir)
-    checks = [quality.diagnose_table(rows, kind) for kind in (STAND_IN, LOOSE, EVENT_LOG)]
-    return quality.compatible_types(checks[0].unionByName(checks[1]).unionByName(checks[2]))
+    return quality.compatible_types(quality.diagnose_types(rows, (STAND_IN, LOOSE, EVENT_LOG)))
 
 
 def _profile(spark, sf_dir):
@@ -145,7 +144,7 @@ QUERIES = [
     Query(
         "b3_label_summary",
         _labels,
-        "SELECT count(*) AS rows, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS labels FROM lineitem",
+        "SELECT l_returnflag AS label, count(*) AS rows, grouping(l_returnflag) = 1 AS whole_table FROM lineitem GROUP BY ROLLUP (l_returnflag)",
     ),
     Query(
         "b4_key_counts",

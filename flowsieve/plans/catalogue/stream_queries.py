@@ -49,8 +49,8 @@ def _near(spark, sf_dir):
     stream = _stream(spark, sf_dir).where(F.col("ts").isNotNull())
     alert = F.col("event_type") == "alert"
     frame = live.live_near_matches(stream.where(~alert), _stream(spark, sf_dir).where(alert & F.col("ts").isNotNull()), DAY)
-    out = _drain(spark, frame.select("p_row", "a_row", "gap_minutes"), "live-near")
-    return out.groupBy("p_row").agg(F.count(F.lit(1)).alias("alerts"))
+    out = _drain(spark, frame.select("p_row", "a_window", "gap_minutes"), "live-near")
+    return out.groupBy("p_row").agg(F.count(F.lit(1)).alias("alert_windows"))
 
 
 def _counts(spark, sf_dir):
@@ -74,7 +74,7 @@ QUERIES = [
         "k3_live_near_matches",
         _near,
         f"WITH {window_ctes()}, p AS (SELECT * FROM ev WHERE ts IS NOT NULL AND event_type <> 'alert'), a AS (SELECT src_ip AS asrc, ts AS ats "
-        "FROM ev WHERE ts IS NOT NULL AND event_type = 'alert') SELECT row_id AS p_row, count(*) AS alerts FROM p JOIN a ON asrc = src_ip "
+        "FROM ev WHERE ts IS NOT NULL AND event_type = 'alert') SELECT row_id AS p_row, count(DISTINCT date_trunc('day', ats)) AS alert_windows FROM p JOIN a ON asrc = src_ip "
         "WHERE abs(date_diff('day', ts, ats)) = 1 GROUP BY row_id",
     ),
     Query(

@@ -128,13 +128,10 @@ def _flags(spark, sf_dir):
 
 def _top_text(spark, sf_dir):
     port = lenient_int(F.col("dest_port"))
-    events = event_records(spark, sf_dir)
-    text = F.array_join(F.transform("top", lambda x: F.concat(x["value"], F.lit(":"), x["n"].cast("string"))), ",")
-    ports = W.top_values_per_window(events, F.when(port > 0, port).cast("string"), DAY, 3)
-    types = W.top_values_per_window(events, text_or(F.col("event_type"), "unknown"), DAY, 10)
-    left = types.select("window_start", "src_ip", text.alias("event_types"))
-    right = ports.select("window_start", "src_ip", text.alias("dest_ports"))
-    return _iso_key(left.join(right, ["window_start", "src_ip"], "left"), "event_types", "dest_ports")
+    fields = {"event_types": (text_or(F.col("event_type"), "unknown"), 10), "dest_ports": (F.when(port > 0, port), 3)}
+    out = W.top_values_per_window(event_records(spark, sf_dir), fields, DAY)
+    text = {c: F.array_join(F.transform(c, lambda x: F.concat(x["value"], F.lit(":"), x["n"].cast("string"))), ",") for c in fields}
+    return _iso_key(out.withColumns(text), *fields)
 
 
 def _alert_index(spark, sf_dir):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,7 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only a local session without
-    that setting gets a temporary folder: there, driver and executors are one machine.
+    that setting gets a temporary folder, for as long as the process runs: there, driver
+    and executors are one machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -53,6 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="flowsieve-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
 

@@ -16,17 +16,15 @@ UTF8, CP1252 = "UTF-8", "windows-1252"
 _C1_BYTES = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
 _C1_TEXT = "".join(chr(b) for b in _C1_BYTES)
 _CP1252_TEXT = bytes(_C1_BYTES).decode("cp1252")
-_PROBE_BYTES_ROWS = 1_000
 
 
-def detect_encoding(spark: SparkSession, path: str, probe_rows: int = _PROBE_BYTES_ROWS) -> str:
-    """First encoding that reads the start of the file with valid bytes.
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """First encoding in which every line of the input has valid bytes.
 
-    Only the choice of decoder looks at a sample; the scan itself reads everything.
+    A pass over all lines, which ends at the first broken one; callers who know the encoding pass it.
     """
-    head = spark.read.text(path).limit(probe_rows)
-    broken = head.where(~F.is_valid_utf8("value")).limit(1).count()
-    return CP1252 if broken else UTF8
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
+    return UTF8 if broken.isEmpty() else CP1252
 
 
 def _reader_charset(encoding: str) -> str:

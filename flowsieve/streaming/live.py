@@ -68,17 +68,25 @@ def live_levels_by_app(windows: DataFrame, thresholds: DataFrame, app: Column, s
 def live_near_matches(probes: DataFrame, alerts: DataFrame, settings: ProbeSettings = ProbeSettings(), delay: str = "10 minutes") -> DataFrame:
     """Probe and alert events of one source whose windows are at most ``radius`` apart.
 
-    Both sides carry ``ts``; the time bound lets the join drop old state.  Every event is
-    announced with its own window, so a window pair is reported once per probe event.
+    Alerts are first reduced to one row per source and window.  A probe event is announced to each window
+    in reach and joined on equality, so it is reported once per alert window in reach, however many
+    alerts that holds; both watermarks bound the state.
     """
     seconds = settings.window_minutes * 60
-    reach = settings.near_window_radius * seconds
-    left = probes.withWatermark("ts", delay).select(F.col("src_ip").alias("p_src"), F.col("ts").alias("p_ts"), F.col("row_id").alias("p_row"))
-    right = alerts.withWatermark("ts", delay).select(F.col("src_ip").alias("a_src"), F.col("ts").alias("a_ts"), F.col("row_id").alias("a_row"))
-    window = lambda c: F.unix_seconds(c) - F.pmod(F.unix_seconds(c), F.lit(seconds))
-    bound = F.expr(f"a_ts >= p_ts - interval {reach + seconds} seconds AND a_ts <= p_ts + interval {reach + seconds} seconds")
-    gap = F.abs(window(F.col("p_ts")) - window(F.col("a_ts")))
-    return left.join(right, (F.col("p_src") == F.col("a_src")) & bound).where((gap > 0) & (gap <= reach)).withColumn("gap_minutes", gap / 60)
+    start = lambda c: F.timestamp_seconds(F.unix_seconds(c) - F.pmod(F.unix_seconds(c), F.lit(seconds)))
+    # A window may still get events until it has ended and the delay has passed.
+    late = f"{settings.near_window_radius * seconds + seconds} seconds"
+    windows = (
+        alerts.select(F.col("src_ip").alias("a_src"), start(F.col("ts")).alias("a_window"))
+        .withWatermark("a_window", f"interval {delay} {late}")
+        .dropDuplicates(["a_src", "a_window"])
+    )
+    steps = [i for i in range(-settings.near_window_radius, settings.near_window_radius + 1) if i]
+    shift = lambda i: F.timestamp_seconds(F.unix_seconds(start(F.col("ts"))) + F.lit(i * seconds))
+    reached = F.explode(F.array(*[F.struct(shift(i).alias("window"), F.lit(abs(i) * seconds / 60).alias("gap")) for i in steps]))
+    probing = probes.withWatermark("ts", delay).select(F.col("src_ip").alias("p_src"), F.col("ts").alias("p_ts"), F.col("row_id").alias("p_row"), reached.alias("to"))
+    joined = probing.join(windows, (F.col("p_src") == F.col("a_src")) & (F.col("to.window") == F.col("a_window")))
+    return joined.select("p_src", "p_ts", "p_row", "a_window", F.col("to.gap").alias("gap_minutes"))
 
 
 def count_apps(events: DataFrame, path: str, checkpoint: str, mode: str = "event_type_or_valid_alert", available_now: bool = True) -> StreamingQuery:
