@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowsieve.operators import manifest, screening
 from flowsieve.plans.catalogue import Query
 from flowsieve.plans.catalogue.report_queries import REPORT, report_rows
-from flowsieve.plans.stand_in import FLOW_FEATURES, event_cte, event_records, flow_cte, flow_table
+from flowsieve.plans.stand_in import EVENT_COLUMNS, FLOW_FEATURES, event_cte, flat_events, flow_cte, flow_table
 
 # Two extra columns: one constant and one text column.
 SCREENED = (*FLOW_FEATURES, "flat", "words")
@@ -57,7 +57,7 @@ def _before_after(spark, sf_dir):
 
 
 def _matrix(spark, sf_dir):
-    out = screening.correlation_matrix(_screen_table(spark, sf_dir), "Label", SCREENED, max_features=6)
+    out = screening.correlation_matrix(_screen_table(spark, sf_dir), "Label", SCREENED)
     return out.withColumn("correlation", F.round(F.col("correlation") + 0.0, 6))
 
 
@@ -77,7 +77,7 @@ def _aligned(spark, sf_dir):
 
 
 def _availability(spark, sf_dir):
-    rows = event_records(spark, sf_dir).select("ts", "app_proto", "src_ip", F.col("alert.severity").alias("alert_severity"))
+    rows = flat_events(spark, sf_dir).select(*_EVENT_NAMES)
     return screening.availability(rows).withColumn("availability_ratio", F.round("availability_ratio", 9))
 
 
@@ -93,7 +93,7 @@ def _groups(spark, sf_dir):
 
 def _resolve(spark, sf_dir):
     """Candidate list by correlation rank, guarded, with the rows behind it."""
-    facts = _facts(spark, sf_dir, ("l_quantity", "l_extendedprice", "price_per_unit"))
+    facts = _facts(spark, sf_dir, FLOW_FEATURES)
     ranked = [r["feature"] for r in screening.top_correlations(screening.correlation_table(facts), 10).collect()]
     clean, removed = manifest.resolve_features([[], ["label_source", "x_raw", *sorted(ranked)]], "Label")
     return facts.select(F.max("n").alias("rows")).select(
@@ -109,13 +109,13 @@ def _corr_sql(names) -> str:
     )
 
 
+_EVENT_NAMES = [name for name, _ in EVENT_COLUMNS]
 _LEAK_CTE = f"{flow_cte()}, lk AS (SELECT *, Label * 2.0 AS leak FROM fl)"
 _ABS = " UNION ALL ".join(
     f"SELECT '{n}' AS feature, round(abs(covar_samp({n}, Label) / (stddev_samp({n}) * stddev_samp(Label))), 9) AS abs_corr FROM lk"
     for n in (*FLOW_FEATURES, "leak")
 )
-_VARIANCE_TOP = ("l_extendedprice", "price_per_unit", "l_quantity", "ship_month", "l_linenumber")
-_MATRIX_NAMES = ("Label", *_VARIANCE_TOP)
+_MATRIX_NAMES = ("Label", *FLOW_FEATURES)
 
 QUERIES = [
     Query(
@@ -169,10 +169,11 @@ QUERIES = [
     Query(
         "g16_availability",
         _availability,
-        f"WITH {event_cte()}, a AS (SELECT count(*) AS n, count(ts) AS ts, count(app_proto) AS app_proto, "
-        "count(*) FILTER (src_ip <> '') AS src_ip, count(alert_severity) FILTER (alert_there) AS alert_severity FROM ev), "
-        "l AS (UNPIVOT a ON ts, app_proto, src_ip, alert_severity INTO NAME \"column\" VALUE present) SELECT \"column\", n AS rows, "
-        "present, n - present AS missing, round(present / n, 9) AS availability_ratio FROM l",
+        f"WITH {event_cte()}, l AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER (CAST({c} AS VARCHAR) <> '') AS present FROM ev" for c in _EVENT_NAMES
+        )
+        + ') SELECT "column", rows, present, rows - present AS missing, round(present / rows, 9) AS availability_ratio FROM l',
     ),
     Query(
         "g17_feature_groups",
@@ -183,6 +184,6 @@ QUERIES = [
     Query(
         "g18_resolved_features",
         _resolve,
-        "SELECT count(*) AS rows, 'l_extendedprice,l_quantity,price_per_unit' AS features, 'label_source,x_raw' AS removed FROM lineitem",
+        f"SELECT count(*) AS rows, '{','.join(sorted(FLOW_FEATURES))}' AS features, 'label_source,x_raw' AS removed FROM lineitem",
     ),
 ]
