@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import functions as F
 
 from flowsieve.functions import buckets, network
@@ -105,21 +107,10 @@ def _pick(names, digits=6, app="tls"):
 
 
 def _private(spark, sf_dir):
-    """Both private-address rules over addresses that walk through every special block."""
+    """Both private-address rules over addresses that the event and user numbers spread over the whole space."""
     events = read_table(spark, sf_dir, "events")
-    pool = [block.split("/")[0] for block in network.NON_GLOBAL_BLOCKS] + [
-        "172.15.0.1",
-        "172.31.255.255",
-        "172.32.0.0",
-        "192.0.0.9",
-        "8.8.8.8",
-        "::1",
-        "10.0.0",
-        "256.1.1.1",
-        "010.1.1.1",
-        "junk",
-    ]
-    ip = F.element_at(F.array(*[F.lit(p) for p in pool]), (F.pmod("event_id", F.lit(len(pool))) + 1).cast("int"))
+    number = F.pmod(F.col("event_id").cast("bigint") * 2_654_435_761 + F.col("user_id"), F.lit(2**32))
+    ip = F.concat_ws(".", *[F.shiftright(number, bits).bitwiseAND(255).cast("string") for bits in (24, 16, 8, 0)])
     return events.select("event_id", network.is_private(ip).alias("private"), network.is_rfc1918(ip).alias("rfc1918"))
 
 
@@ -180,10 +171,14 @@ def _drop_ids(spark, sf_dir):
 
 
 def _boolish(spark, sf_dir):
-    events = read_table(spark, sf_dir, "events")
-    words = [" Yes", "no", "TRUE", "f", "12.5", "", "y", "N", "inf"]
-    text = F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod("event_id", F.lit(len(words))) + 1).cast("int"))
-    return events.select("event_id", boolish_to_double(text).alias("number"))
+    rows = flow_table(spark, sf_dir)
+    words = {
+        "flag": F.concat(F.lit(" "), "l_returnflag"),
+        "status": F.col("l_linestatus"),
+        "dear": (F.col("l_discount") > 0.05).cast("string"),
+        "quantity": F.concat(F.col("l_quantity").cast("string"), F.lit(" ")),
+    }
+    return rows.select("row_key", *[boolish_to_double(text).alias(name) for name, text in words.items()])
 
 
 def _preview(spark, sf_dir):
@@ -265,9 +260,18 @@ _INDICATORS = {
         "ssh_has_server_version": f"CASE WHEN {APP_SQL['ssh']['ssh_server_version_len']} > 0 THEN 1 ELSE 0 END",
     },
 }
-_POOL = 22
-_PRIVATE_AT = "(0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13)"
-_RFC1918_AT = "(1, 4, 7, 13)"
+
+
+def _address(text: str) -> int:
+    return int(ipaddress.IPv4Address(text))
+
+
+def _blocks_sql(blocks) -> str:
+    nets = [ipaddress.ip_network(block) for block in blocks]
+    return " OR ".join(f"ip BETWEEN {int(net[0])} AND {int(net[-1])}" for net in nets)
+
+
+_EXCEPTIONS = ", ".join(str(_address(ip)) for ip in network.GLOBAL_EXCEPTIONS)
 
 QUERIES = [
     Query(
@@ -300,8 +304,9 @@ QUERIES = [
     Query(
         "f13_private_ipv4",
         _private,
-        f"SELECT event_id, CASE WHEN event_id % {_POOL} IN {_PRIVATE_AT} THEN 1 ELSE 0 END AS private, "
-        f"CASE WHEN event_id % {_POOL} IN {_RFC1918_AT} THEN 1 ELSE 0 END AS rfc1918 FROM events",
+        "WITH n AS (SELECT event_id, (event_id::HUGEINT * 2654435761 + user_id) % 4294967296 AS ip FROM events) "
+        f"SELECT event_id, CASE WHEN ({_blocks_sql(network.NON_GLOBAL_BLOCKS)}) AND ip NOT IN ({_EXCEPTIONS}) THEN 1 ELSE 0 END AS private, "
+        f"CASE WHEN {_blocks_sql(network.RFC1918_BLOCKS)} THEN 1 ELSE 0 END AS rfc1918 FROM n",
     ),
     Query("f14_subnet_prefix", _subnet, f"WITH {BASE} SELECT row_id, {_SRC24} AS src, {_DEST24} AS dest FROM base"),
     Query("f15_stable_hash", _hash, f"SELECT doc_id, {hash_sql('text')} AS text_h, {hash_sql('source')} AS source_h FROM documents"),
@@ -362,7 +367,8 @@ QUERIES = [
     Query(
         "f25_boolean_words",
         _boolish,
-        "SELECT event_id, CASE event_id % 9 WHEN 0 THEN 1.0 WHEN 2 THEN 1.0 WHEN 4 THEN 12.5 WHEN 6 THEN 1.0 ELSE 0.0 END AS number FROM events",
+        f"WITH {flow_cte()} SELECT row_key, 0.0::DOUBLE AS flag, 0.0::DOUBLE AS status, "
+        "CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END AS dear, l_quantity::DOUBLE AS quantity FROM fl",
     ),
     Query(
         "f26_preview",
