@@ -8,7 +8,7 @@ run in step: one counts the words since a negation, one since a target, one reme
 speech.  Their states scale the weight of the insult or threat at hand: what is denied or quoted
 counts less, what is aimed at somebody more.  A clause scores the sum of its scaled weights;
 a document's score is a logistic function, fitted on the same sample, of the sum over its
-clauses and of its worst clause.
+clauses, of its worst clause and of the number of words that scored.
 
 The sample is at most ``TRAIN_ROWS`` labelled rows; terms are counted on executors and at most
 ``MAX_TERMS`` reach the driver.  Null and empty texts have no clause and the lowest score.
@@ -34,10 +34,10 @@ from flowsieve.llm.common import labelled_sample, stored
 
 TRAIN_ROWS = 20_000
 MAX_TERMS = 60_000
-MIN_TOXIC_DOCS = 6
-MIN_PURITY = 0.9
+MIN_TOXIC_DOCS = 5
+MIN_PURITY = 0.6
 MIN_ENDINGS = 3
-STEM_LENGTHS = (3, 4, 5, 6)
+STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
 TOXIC_AT = 0.3
 
 INSULT, THREAT, TARGET, NEGATION, REPORT = "insult", "threat", "target", "negation", "report"
@@ -66,7 +66,7 @@ class Lexicon:
 
     words: Mapping[str, float] = field(default_factory=dict)
     stems: Mapping[str, float] = field(default_factory=dict)
-    coefficients: tuple[float, float, float] = (-4.0, 2.0, 1.0)
+    coefficients: tuple[float, ...] = (-4.0, 2.0, 1.0, 0.0)
 
 
 class Grammar:
@@ -90,10 +90,10 @@ class Grammar:
         found = [self._stems[word[:n]] for n in STEM_LENGTHS if len(word) > n and word[:n] in self._stems]
         return (INSULT, max(found)) if found else None
 
-    def clause(self, text: str) -> float:
-        """Weight of one lower-cased clause."""
+    def clause(self, text: str) -> tuple[float, int]:
+        """Weight of one lower-cased clause, and how many of its words scored."""
         negation = target = math.inf  # words since
-        reported, waiting, score = 1.0, 0.0, 0.0
+        reported, waiting, score, hits = 1.0, 0.0, 0.0, 0
         for word in _WORDS.findall(text):
             kind = self._class.get(word)
             negation, target = negation + 1, target + 1
@@ -108,6 +108,7 @@ class Grammar:
                 waiting = 0.0
             elif output := self._output(word):
                 kind, weight = output
+                hits += 1
                 weight *= (NEGATED if negation <= NEGATION_REACH else 1.0) * reported
                 if target <= TARGET_REACH:
                     score += weight * AIMED
@@ -116,10 +117,10 @@ class Grammar:
                     waiting = weight
                 else:
                     waiting = weight  # a threat needs a target
-        return score
+        return score, hits if score else 0
 
-    def clauses(self, text: str | None) -> list[float]:
-        """Weights of the clauses in which the lexicon machine matches."""
+    def clauses(self, text: str | None) -> list[tuple[float, int]]:
+        """Weights and hits of the clauses in which the lexicon machine matches."""
         lower = (text or "").lower()
         scores, end = [], -1
         for last, length in self._machine.iter(lower):
@@ -132,16 +133,16 @@ class Grammar:
             stop = _CLAUSE_END.search(lower, last + 1)
             end = stop.start() if stop else len(lower)
             scores.append(self.clause(lower[begin:end]))
-        return [s for s in scores if s]
+        return [s for s in scores if s[0]]
 
-    def features(self, text: str | None) -> tuple[float, float]:
+    def features(self, text: str | None) -> tuple[float, float, float]:
         found = self.clauses(text)
-        return math.log1p(sum(found)), max(found, default=0.0)
+        return math.log1p(sum(s for s, _ in found)), max((s for s, _ in found), default=0.0), math.log1p(sum(n for _, n in found))
 
     def score(self, text: str | None) -> float:
-        total, worst = self.features(text)
-        a, b, c = self._coefficients
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * total + c * worst))))
+        constant, *slopes = self._coefficients
+        log_odds = constant + sum(a * x for a, x in zip(slopes, self.features(text)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, log_odds))))
 
 
 def _terms(text: str | None) -> set[str]:
@@ -165,34 +166,51 @@ def _document_counts(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", rows: int = TRAIN_ROWS) -> Lexicon:
-    """Terms and weights from at most ``rows`` labelled documents that are not held out."""
-    sample = stored(labelled_sample(docs, labels, column, rows))
+    """Terms and weights from at most ``rows`` labelled documents that are not held out.
+
+    The logistic coefficients are fitted on scores each half of the sample gets from the terms of the other
+    half, as terms look better on the documents they were chosen from.
+    """
+    sample = stored(labelled_sample(docs, labels, column, rows).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))))
+    if sample.groupBy("half", "label").agg(F.count(F.lit(1))).count() < 4:
+        return Lexicon()
+    measured = []
+    for half in (0, 1):
+        words, stems = _weights(sample.where(F.col("half") != half))
+        own = sample.where(F.col("half") == half)
+        own = own.select("label", features(F.col("text"), Lexicon(words, stems)).alias("f")).select("label", "f.*")
+        measured += [tuple(row) for row in own.collect()]
+    words, stems = _weights(sample)
+    return Lexicon(words, stems, _logistic(np.array(sorted(measured), float)))
+
+
+def _weights(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Log-odds of the words and of the stems that tell toxic documents from the others."""
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic or not clean:
-        return Lexicon()
     often = _document_counts(sample.where("label = 1"), None).where(F.col("n") >= 2)
     positive = {r["term"]: r["n"] for r in often.orderBy(F.col("n").desc(), "term").limit(MAX_TERMS).collect()}
     wanted = frozenset(t for t, n in positive.items() if n >= MIN_TOXIC_DOCS)
     negative = {r["term"]: r["n"] for r in _document_counts(sample.where("label = 0"), wanted).collect()}
-    weights = {}
+    endings = Counter(w[:n] for w in positive if not w.endswith("*") for n in STEM_LENGTHS if len(w) > n)
+    words, stems = {}, {}
     for term in wanted:
         yes, no = positive[term], negative.get(term, 0)
-        if yes >= MIN_PURITY * (yes + no):
-            weights[term] = math.log((yes + 0.5) / (toxic + 1)) - math.log((no + 0.5) / (clean + 1))
-    endings = Counter(w[:n] for w in positive if not w.endswith("*") for n in STEM_LENGTHS if len(w) > n)
-    stems = {t[:-1]: w for t, w in weights.items() if t.endswith("*") and endings[t[:-1]] >= MIN_ENDINGS}
-    words = {t: w for t, w in weights.items() if not t.endswith("*")}
-    found = Lexicon(words, stems)
-    measured = sample.select("label", features(F.col("text"), found).alias("f")).select("label", "f.*").collect()
-    return Lexicon(words, stems, _logistic(np.array([tuple(r) for r in measured], float)))
-
-
-def _logistic(rows: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[float, float, float]:
-    """Newton's method for two features and a constant."""
+        if yes < MIN_PURITY * (yes + no):
+            continue
+        weight = math.log((yes + 0.5) / (toxic + 1)) - math.log((no + 0.5) / (clean + 1))
+        if not term.endswith("*"):
+            words[term] = weight
+        elif endings[term[:-1]] >= MIN_ENDINGS:
+            stems[term[:-1]] = weight
+    return words, stems
+
+
+def _logistic(rows: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[float, ...]:
+    """Newton's method for a few features and a constant."""
     x, y = np.column_stack([np.ones(len(rows)), rows[:, 1:]]), rows[:, 0]
-    beta = np.zeros(3)
-    penalty = ridge * np.diag([0.0, 1.0, 1.0])
+    beta = np.zeros(x.shape[1])
+    penalty = ridge * np.diag([0.0] + [1.0] * (x.shape[1] - 1))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + penalty, x.T @ (y - p) - penalty @ beta)
@@ -201,10 +219,10 @@ def _logistic(rows: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[fl
 
 
 def features(text: Column, lexicon: Lexicon) -> Column:
-    @F.pandas_udf("total double, worst double")
+    @F.pandas_udf("total double, worst double, hits double")
     def measured(texts: pd.Series) -> pd.DataFrame:
         grammar = Grammar(lexicon)
-        return pd.DataFrame([grammar.features(t) for t in texts], columns=["total", "worst"])
+        return pd.DataFrame([grammar.features(t) for t in texts], columns=["total", "worst", "hits"])
 
     return measured(text)
 

@@ -15,7 +15,7 @@ LABELS = "doc_id bigint, quality int, toxic int"
 def toxic_documents(spark):
     """Clean prose, and prose with known insults or with one invented stem and many endings."""
     rows = []
-    for i in range(240):
+    for i in range(480):
         text = prose(1000 + i, 60) + ". and the rest such an."
         if i % 4 == 0:
             text += f" gruz{'abcdefgh'[i // 8 % 8]}m" if i % 8 else " idiot"
@@ -49,17 +49,21 @@ def test_toxic_terms_are_learned(spark):
 
 def test_clauses():
     grammar = toxicity.Grammar(toxicity.Lexicon())
-    plain = grammar.clauses("what an idiot.")[0]
+
+    def weight(text):
+        return grammar.clauses(text)[0][0]
+
+    plain = weight("what an idiot.")
     assert plain == toxicity.SEED_WEIGHT
-    assert grammar.clauses("you are an idiot")[0] == grammar.clauses("an idiot are you")[0] == plain * toxicity.AIMED
-    assert grammar.clauses("not an idiot")[0] == plain * toxicity.NEGATED
-    assert grammar.clauses("he never was so much of an idiot")[0] > plain * toxicity.NEGATED
-    assert grammar.clauses("somebody said idiot")[0] == plain * toxicity.REPORTED
-    assert grammar.clauses("nobody came. what an idiot")[0] == plain
+    assert weight("you are an idiot") == weight("an idiot are you") == plain * toxicity.AIMED
+    assert weight("not an idiot") == plain * toxicity.NEGATED
+    assert weight("he never was so much of an idiot") > plain * toxicity.NEGATED
+    assert weight("somebody said idiot") == plain * toxicity.REPORTED
+    assert weight("nobody came. what an idiot") == plain
     assert grammar.clauses("kill the process") == [] and grammar.clauses("i kill you")
     assert grammar.clauses("idiotic clowns, a scumbag") == []
     assert len(grammar.clauses("idiot. " * 30)) == 30
-    assert grammar.clauses("idiot " * 3)[0] == 3 * plain
+    assert grammar.clauses("idiot " * 3)[0] == (3 * plain, 3)
 
 
 def test_additive_model_learns_shapes_and_pairs():
