@@ -40,7 +40,8 @@ def _windows(spark, sf_dir):
 def _levels(spark, sf_dir):
     batch = add_scores(probe_windows(event_records(spark, sf_dir), DAY), DAY)
     cuts = level_cuts(batch, DAY)
-    frame = live.live_levels(live.live_windows(_stream(spark, sf_dir), DAY), cuts, DAY)
+    thresholds = spark.createDataFrame([("all", *[float(cuts[c]) for c in ("p90", "p95", "p99")])], "app string, p90 double, p95 double, p99 double")
+    frame = live.live_levels_by_app(live.live_windows(_stream(spark, sf_dir), DAY), thresholds, F.lit("all"), DAY)
     out = _drain(spark, frame.select("window_start", "src_ip", "probe_level", "fanout_high"), "live-levels")
     return out.groupBy("probe_level").agg(F.count(F.lit(1)).alias("windows"))
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from flowsieve.functions import labels
 from flowsieve.functions.scalars import lenient_int
 from flowsieve.operators import routing
+from flowsieve.operators.joins import broadcast_if_small
 from flowsieve.operators.windows import ProbeSettings, add_scores, usable_events
 
 
@@ -55,14 +56,17 @@ def live_levels(windows: DataFrame, cuts: Mapping[str, float], settings: ProbeSe
 def live_levels_by_app(windows: DataFrame, thresholds: DataFrame, app: Column, settings: ProbeSettings = ProbeSettings()) -> DataFrame:
     """The same with one threshold row per application, as a stream-static join.
 
-    ``thresholds`` (app, p90, p95, p99) has one row per application.
+    ``thresholds`` (app, p90, p95, p99) has one row per application; many are joined by shuffle.
     """
-    joined = add_scores(windows, settings).withColumn("app", app).join(F.broadcast(thresholds), "app", "left")
+    joined = add_scores(windows, settings).withColumn("app", app).join(broadcast_if_small(thresholds), "app", "left")
     score = F.col("probe_score_no_alert")
     level = (
         F.when(score >= F.col("p99"), "extreme").when(score >= F.col("p95"), "high").when(score >= F.col("p90"), "medium").otherwise("low")
     )
-    return joined.withColumn("probe_level", level)
+    fanout = (F.col("unique_dest_ip_window") >= settings.min_unique_dest_ip) | (
+        F.col("unique_dest_port_window") >= settings.min_unique_dest_port
+    )
+    return joined.withColumns({"probe_level": level, "fanout_high": fanout.cast("int")})
 
 
 def live_near_matches(probes: DataFrame, alerts: DataFrame, settings: ProbeSettings = ProbeSettings(), delay: str = "10 minutes") -> DataFrame:

@@ -240,6 +240,24 @@ def test_folds_and_curve(spark, sf_dir):
     assert curve[0]["train_rows"] < curve[1]["train_rows"]
 
 
+def test_live_levels_by_app_agree_with_literal_cuts(spark):
+    """The stream-static join gives each application its own cuts; a missing one leaves the lowest level."""
+    from flowsieve.operators.windows import ProbeSettings
+    from flowsieve.streaming import live
+
+    columns = "app string, event_count_window long, unique_dest_ip_window long, unique_dest_port_window long, total_bytes_window long, total_pkts_window long, base_alert_positive_count_window long, no_alert_count_window long"
+    rows = [(app, n, n, 1, 10 * n, n, 0, n) for app in ("tls", "dns", "new") for n in (1, 40, 4000)]
+    windows = spark.createDataFrame(rows, columns)
+    cuts = {"tls": {"p90": 1.0, "p95": 2.0, "p99": 3.0}, "dns": {"p90": 100.0, "p95": 200.0, "p99": 300.0}}
+    table = spark.createDataFrame([(a, c["p90"], c["p95"], c["p99"]) for a, c in cuts.items()], "app string, p90 double, p95 double, p99 double")
+    joined = live.live_levels_by_app(windows.where("app = 'tls'").drop("app"), table, F.lit("tls"), ProbeSettings())
+    literal = live.live_levels(windows.where("app = 'tls'"), cuts["tls"], ProbeSettings())
+    want = {(r["event_count_window"], r["probe_level"]) for r in literal.collect()}
+    assert {(r["event_count_window"], r["probe_level"]) for r in joined.collect()} == want
+    lost = live.live_levels_by_app(windows.where("app = 'new'").drop("app"), table, F.lit("new"), ProbeSettings())
+    assert {r["probe_level"] for r in lost.collect()} == {"low"}
+
+
 def test_metric_expression():
     from flowsieve.operators.history import parse_expression
 
