@@ -121,7 +121,7 @@ def with_next(docs: DataFrame, *, k: int = K, shingle: int = SHINGLE) -> DataFra
     bounds: list[int] = []
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
-        found = ids.agg(F.percentile_approx("doc_id", shares, 20 * ranges)).first()[0] or []
+        found = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 8 * ranges))).first()[0] or []
         bounds = sorted(set(found))
     rows = docs.select(
         "doc_id",
