@@ -7,7 +7,8 @@ Boundaries by kind of vocabulary:
 * ``None``: the whole text is one unit;
 * ``byte_level``: a single space between two characters that are not white space starts one,
   as the pre-tokenizing pattern attaches that space to what follows;
-* ``spaced_words``: spaces and line feeds separate units and carry no ids themselves.
+* ``spaced_words``: spaces and line feeds separate units and carry no ids themselves, and case does not
+  matter, as the tokenizer lowers it.
 
 The vocabulary file is read by the driver and broadcast; its size is that of one vocabulary.
 """
@@ -39,7 +40,9 @@ def _byte_level(text: str) -> list[str]:
 
 
 def _spaced_words(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
+    # The vocabulary is lower case; ASCII letters may be lowered here, so that fewer units differ.
+    lower = text.lower() if text.isascii() else text
+    return lower.replace("\n", " ").split(" ")
 
 
 def _final_mark(unit: str) -> bool:
