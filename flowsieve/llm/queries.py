@@ -129,4 +129,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _rules_sql() -> str:
+    """The repetition rules in SQL: words and lines as rows, n-grams as joined text."""
+    limits = repetition.COVERAGE_LIMITS
+    gram = "string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {} FOLLOWING)"
+    grams = ", ".join(f"CASE WHEN i + {n - 1} <= n THEN {gram.format(n - 1)} END AS g{n}" for n in (repetition.BASE_LENGTH, *limits))
+    again = ", ".join(
+        f"coalesce(g{n} IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, g{n} ORDER BY i) > 1, false) AS a{n}" for n in limits
+    )
+    covered = "coalesce(bool_or({}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {} PRECEDING AND CURRENT ROW), false) AS {}"
+    covers = ", ".join(covered.format(f"a{n}", n - 1, f"c{n}") for n in limits)
+    shares = ", ".join(f"sum(CASE WHEN c{n} THEN length(w) ELSE 0 END) AS s{n}" for n in limits)
+    over = " OR ".join(f"coalesce(s{n}, 0) / nullif(chars, 0) > {limit}" for n, limit in limits.items())
+    failed = f"(n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repetition.MAX_REPEAT_PERCENT} * n_words)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+w AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM s),
+g AS (SELECT doc_id, i, w, {grams} FROM w),
+a AS (SELECT *, coalesce(g3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g3) > 1, false) AS r, {again} FROM g),
+c AS (SELECT doc_id, w, {covered.format("r", 2, "cr")}, {covers} FROM a),
+x AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS chars, count(*) FILTER (cr) AS n_repeat_words, {shares} FROM c GROUP BY doc_id),
+l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM d),
+l1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY j) > 1 AS again FROM l0 WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+l AS (SELECT doc_id, count(*) FILTER (again) AS dup, sum(CASE WHEN again THEN length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) ELSE 0 END) AS dup_chars
+  FROM l1 GROUP BY doc_id),
+m AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(dup, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  coalesce({over} OR dup_chars / nullif(chars, 0) > {repetition.LINE_LIMIT}, false) AS over_limit
+  FROM d LEFT JOIN x USING (doc_id) LEFT JOIN l USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND NOT over_limit AS kept FROM m"""
+
+
+# The other operators rest on hashes, tokenizers, compressors or fitted models and are tested against brute force.
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules": _rules_sql()}

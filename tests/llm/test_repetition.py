@@ -52,3 +52,10 @@ def test_verdicts(spark):
     assert repetition.keep_good(docs).columns == docs.columns
     assert repetition.with_rules(empty(spark)).count() == 0
     assert repetition.keep_good(documents(spark)).columns == documents(spark).columns
+
+
+def test_query_against_sql(spark, sf_dir):
+    from flowsieve.llm.queries import ORACLE_SQL, op8_quality_rules
+    from tests.oracle import compare
+
+    assert compare(spark, sf_dir, op8_quality_rules, ORACLE_SQL["op8_quality_rules"]) is None
