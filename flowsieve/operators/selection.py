@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.operators.manifest import is_forbidden, unique_in_order
+from flowsieve.operators.quantiles import exact_quantiles
 from flowsieve.operators.models import balanced_weights, build_model
 
 DEFAULT_BINS = 32
@@ -31,12 +32,23 @@ def _binned_equal_width(df: DataFrame, features: Sequence[str], label: str, bins
     return df.select(F.col(label).alias("label"), *[code(i, f).alias(f"b{i}") for i, f in enumerate(features)])
 
 
+# Features whose cut points are found together.
+_QUANTILE_FEATURES = 200
+
+
 def _binned_quantile(df: DataFrame, features: Sequence[str], label: str, bins: int) -> DataFrame:
+    """Bins between exact quantiles; equal cut points are one."""
     probs = [i / bins for i in range(1, bins)]
-    points = df.approxQuantile(list(features), probs, 0.1 / bins)
+    points: dict[str, list[float]] = {}
+    for start in range(0, len(features), _QUANTILE_FEATURES):
+        some = features[start : start + _QUANTILE_FEATURES]
+        values = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in some])
+        long = df.select(F.explode(values).alias("x")).select("x.*")
+        for row in exact_quantiles(long, "value", probs, ["feature"]).collect():
+            points[row["feature"]] = [row[f"q{i}"] for i in range(len(probs))]
     out = df
-    for i, (name, cuts) in enumerate(zip(features, points)):
-        splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    for i, name in enumerate(features):
+        splits = [float("-inf"), *sorted(set(points.get(name, ()))), float("inf")]
         if len(splits) < 3:
             out = out.withColumn(f"b{i}", F.lit(0.0))
         else:
