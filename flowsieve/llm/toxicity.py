@@ -34,6 +34,8 @@ from flowsieve.llm.common import labelled_sample, stored
 
 TRAIN_ROWS = 20_000
 MAX_TERMS = 60_000
+# Documents whose terms a task holds at once.
+COUNTED_DOCS = 200
 MIN_TOXIC_DOCS = 5
 MIN_PURITY = 0.6
 MIN_ENDINGS = 3
@@ -152,14 +154,15 @@ def _terms(text: str | None) -> set[str]:
 
 
 def _document_counts(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
-    """Documents per term; a batch is summed before its counts are shuffled."""
+    """Documents per term; a few documents at a time are summed before their counts are shuffled."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found: Counter = Counter()
-            for text in batch["text"]:
-                found.update(_terms(text) if only is None else _terms(text) & only)
-            yield pd.DataFrame({"term": list(found), "n": list(found.values())}, columns=["term", "n"])
+            for start in range(0, len(batch), COUNTED_DOCS):
+                found: Counter = Counter()
+                for text in batch["text"].iloc[start : start + COUNTED_DOCS]:
+                    found.update(_terms(text) if only is None else _terms(text) & only)
+                yield pd.DataFrame({"term": list(found), "n": list(found.values())}, columns=["term", "n"])
 
     counts = rows.select("text").mapInPandas(count, "term string, n bigint")
     return counts.groupBy("term").agg(F.sum("n").alias("n"))
