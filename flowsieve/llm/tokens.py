@@ -25,7 +25,7 @@ from pyspark.sql import SparkSession
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core already
 
 # Units remembered per Python worker, and the characters handled between two look-ups.
-REMEMBERED_UNITS = 800_000
+REMEMBERED_UNITS = 500_000
 BATCH_CHARS = 1_000_000
 
 _ADJACENT_SPACE = re.compile(r"\s\s")
