@@ -10,8 +10,8 @@ counts less, what is aimed at somebody more.  A clause scores the sum of its sca
 a document's score is a logistic function, fitted on the same sample, of the sum over its
 clauses, of its worst clause and of the number of words that scored.
 
-The sample is at most ``TRAIN_ROWS`` labelled rows; terms are counted on executors and at most
-``MAX_TERMS`` reach the driver.  Null and empty texts have no clause and the lowest score.
+The sample is at most ``TRAIN_ROWS`` labelled rows; all its terms are counted and judged on executors,
+those that are learned reach the driver.  Null and empty texts have no clause and the lowest score.
 Without labels of both kinds the fixed lists alone are used, with fixed coefficients.  Only
 ``doc_id`` and ``text`` are read.  Repeated rows get equal scores.
 """
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from flowsieve.llm.common import labelled_sample, stored
 
 TRAIN_ROWS = 20_000
-MAX_TERMS = 60_000
 # Documents whose terms a task holds at once.
 COUNTED_DOCS = 200
 MIN_TOXIC_DOCS = 5
@@ -153,19 +152,21 @@ def _terms(text: str | None) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEM_LENGTHS if len(w) > n}
 
 
-def _document_counts(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
-    """Documents per term; a few documents at a time are summed before their counts are shuffled."""
+def _document_counts(rows: DataFrame) -> DataFrame:
+    """Toxic and other documents per term; a few documents at a time are summed before their counts are shuffled."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), COUNTED_DOCS):
-                found: Counter = Counter()
-                for text in batch["text"].iloc[start : start + COUNTED_DOCS]:
-                    found.update(_terms(text) if only is None else _terms(text) & only)
-                yield pd.DataFrame({"term": list(found), "n": list(found.values())}, columns=["term", "n"])
+                some = batch.iloc[start : start + COUNTED_DOCS]
+                yes, no = Counter(), Counter()
+                for text, label in zip(some["text"], some["label"]):
+                    (yes if label else no).update(_terms(text))
+                terms = list({**yes, **no})
+                yield pd.DataFrame({"term": terms, "yes": [yes[t] for t in terms], "no": [no[t] for t in terms]}, columns=["term", "yes", "no"])
 
-    counts = rows.select("text").mapInPandas(count, "term string, n bigint")
-    return counts.groupBy("term").agg(F.sum("n").alias("n"))
+    counts = rows.select("text", "label").mapInPandas(count, "term string, yes bigint, no bigint")
+    return counts.groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", rows: int = TRAIN_ROWS) -> Lexicon:
@@ -191,21 +192,21 @@ def _weights(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Log-odds of the words and of the stems that tell toxic documents from the others."""
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    often = _document_counts(sample.where("label = 1"), None).where(F.col("n") >= 2)
-    positive = {r["term"]: r["n"] for r in often.orderBy(F.col("n").desc(), "term").limit(MAX_TERMS).collect()}
-    wanted = frozenset(t for t, n in positive.items() if n >= MIN_TOXIC_DOCS)
-    negative = {r["term"]: r["n"] for r in _document_counts(sample.where("label = 0"), wanted).collect()}
-    endings = Counter(w[:n] for w in positive if not w.endswith("*") for n in STEM_LENGTHS if len(w) > n)
+    counts = stored(_document_counts(sample).where("yes >= 2"))
+    # Only terms that pass are collected.
+    pure = counts.where((F.col("yes") >= MIN_TOXIC_DOCS) & (F.col("yes") >= MIN_PURITY * (F.col("yes") + F.col("no"))))
+    word, is_stem = F.col("term"), F.col("term").endswith("*")
+    marked = [F.when(F.length(word) > n, F.concat(F.substring(word, 1, n), F.lit("*"))) for n in STEM_LENGTHS]
+    endings = counts.where(~is_stem).select(F.explode(F.array_compact(F.array(*marked))).alias("term"))
+    endings = endings.groupBy("term").agg(F.count(F.lit(1)).alias("endings")).where(F.col("endings") >= MIN_ENDINGS)
+    passed = pure.where(~is_stem).union(pure.where(is_stem).join(endings, "term", "left_semi"))
     words, stems = {}, {}
-    for term in wanted:
-        yes, no = positive[term], negative.get(term, 0)
-        if yes < MIN_PURITY * (yes + no):
-            continue
+    for term, yes, no in sorted(map(tuple, passed.select("term", "yes", "no").collect())):
         weight = math.log((yes + 0.5) / (toxic + 1)) - math.log((no + 0.5) / (clean + 1))
-        if not term.endswith("*"):
-            words[term] = weight
-        elif endings[term[:-1]] >= MIN_ENDINGS:
+        if term.endswith("*"):
             stems[term[:-1]] = weight
+        else:
+            words[term] = weight
     return words, stems
 
 

@@ -47,6 +47,15 @@ def test_toxic_terms_are_learned(spark):
     assert grammar.score("unseen ending: gruzxyq") >= toxicity.TOXIC_AT > grammar.score(None) == grammar.score("")
 
 
+def test_rare_insults_among_many_common_terms(spark):
+    """More terms than the driver once took, all more frequent than the insult and as frequent in clean texts."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    common = " ".join("w" + letters[i // 17_576 % 26] + letters[i // 676 % 26] + letters[i // 26 % 26] + letters[i % 26] for i in range(62_000))
+    rows = [(common + (" gruzam gruzem gruzim" if i < 5 else ""), int(i < 7)) for i in range(14)]
+    words, stems = toxicity._weights(spark.createDataFrame(rows, "text string, label int"))
+    assert set(words) == {"gruzam", "gruzem", "gruzim"} and set(stems) == {"gru", "gruz"}
+
+
 def test_clauses():
     grammar = toxicity.Grammar(toxicity.Lexicon())
 
