@@ -1,12 +1,12 @@
-"""Removal of byte strings that occur twice: sparse prefix doubling.
+"""Removal of byte strings that occur twice: a replacement of prefix doubling by window anchors.
 
 Ranking every byte position at offsets 1, 2, 4, ... would sort the whole corpus byte by byte nine
-times.  The positions are thinned first so that no repeat can be missed: of the ``gram``-byte strings in
+times (calculated, not tried).  No rank pair is sorted here and no offset doubled.  The positions are thinned first so that no repeat can be missed: of the ``gram``-byte strings in
 every window of ``length`` bytes the one with the lowest hash is the window's anchor, a
 choice that depends on the window's bytes alone, so equal windows have equal anchors at equal places.
 Consecutive windows share an anchor; an anchor with its run of windows is one row.
 
-Then anchors are ranked by growing strings around them, a rank being the class of equal strings:
+Then anchors are grouped by growing strings around them, into classes of equal hashes:
 
 1. by the ``gram`` bytes at the anchor; anchors alone in their class are dropped, which is
    nearly all of them;
