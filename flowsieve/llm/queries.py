@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import additive, mixing, packing, repeats, repetition, secrets, simhash, sketches, token_files, toxicity
+from flowsieve.llm import additive, centroids, mixing, packing, repeats, repetition, secrets, simhash, sketches, token_files, toxicity
 from flowsieve.llm.common import held_out
 from flowsieve.llm.tokens import Vocabulary
 from flowsieve.session import scratch_path
@@ -116,6 +116,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, toxicity.score(F.col("text"), lexicon), toxicity.TOXIC_AT)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("centroid_sha256", F.sha2("centroid", 256)).drop("centroid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_quality_scores": op2_quality_scores,
@@ -127,10 +132,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_repeated_bytes": op9_repeated_bytes,
     "op10_toxicity": op10_toxicity,
+    "op11_centroid_clusters": op11_centroid_clusters,
 }
 
 
-
 def _rules_sql() -> str:
     """The repetition rules in SQL: words and lines as rows, n-grams as joined text."""
     limits = repetition.COVERAGE_LIMITS
@@ -162,5 +167,35 @@ m AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(chars, 0)::BIGI
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND NOT over_limit AS kept FROM m"""
 
 
+def _clusters_sql() -> str:
+    """Every distance of every round, written out round by round."""
+    size = centroids.DIMENSIONS
+    squares = f"list_sum([(v[i] - p[i]) * (v[i] - p[i]) for i in range(1, {size + 1})])"
+
+    def nearest(r: int) -> str:
+        return (
+            f"a{r} AS MATERIALIZED (SELECT row_id, arg_min(c, d * 1000 + c) AS c, min(d) AS d "
+            f"FROM (SELECT row_id, c, {squares}::HUGEINT AS d FROM v, p{r}) GROUP BY row_id)"
+        )
+
+    def mean(r: int) -> str:
+        return (
+            f"p{r + 1} AS MATERIALIZED (SELECT p.c, coalesce(m.p, p.p) AS p FROM p{r} p LEFT JOIN ("
+            "SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS p FROM ("
+            f"SELECT c, i, sum(v[i])::HUGEINT AS s, count(*) AS n FROM a{r} JOIN v USING (row_id), range(1, {size + 1}) t(i) GROUP BY c, i) GROUP BY c) m USING (c))"
+        )
+
+    rounds = ", ".join(f"{nearest(r)}, {mean(r)}" for r in range(centroids.ROUNDS))
+    last = centroids.ROUNDS
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row_id, vec_id, [floor({centroids.SCALE} * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+  FROM embeddings WHERE len(embedding) = {size} AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = {size}),
+p0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id), v) - 1 AS c, v AS p FROM v
+  ORDER BY sha256('{centroids.SEED}:' || vec_id), v LIMIT {centroids.CENTROIDS}),
+{rounds}, {nearest(last)}
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(p, ',')) AS centroid_sha256
+FROM a{last} JOIN v USING (row_id) JOIN p{last} USING (c)"""
+
+
 # The other operators rest on hashes, tokenizers, compressors or fitted models and are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": _rules_sql()}
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules": _rules_sql(), "op11_centroid_clusters": _clusters_sql()}
