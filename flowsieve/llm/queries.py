@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import additive, centroids, mixing, packing, repeats, repetition, secrets, simhash, sketches, token_files, toxicity
+from flowsieve.llm import additive, centroids, conversations, mixing, packing, repeats, repetition, secrets, simhash, sketches, token_files, toxicity
 from flowsieve.llm.common import held_out
 from flowsieve.llm.tokens import Vocabulary
 from flowsieve.session import scratch_path
@@ -121,6 +121,11 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("centroid_sha256", F.sha2("centroid", 256)).drop("centroid")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repaired(conversations.damage(rows), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_quality_scores": op2_quality_scores,
@@ -133,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeated_bytes": op9_repeated_bytes,
     "op10_toxicity": op10_toxicity,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 
@@ -197,5 +203,58 @@ SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTI
 FROM a{last} JOIN v USING (row_id) JOIN p{last} USING (c)"""
 
 
+def _repair_sql() -> str:
+    """The search as a recursion over rows; a state is its cost, letters and result, the least of which survives."""
+
+    def edited(state: str, cost: str, letter: str, line: str | None) -> str:
+        out = f"{state}.o || chr(10) || {line}" if line else f"{state}.o"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'o': {out}}}"
+
+    def least(*states: str) -> str:
+        return f"list_min([{', '.join(states)}])"
+
+    none = "{'c': 1000000000000, 'a': '', 'o': ''}"
+    inserted_u = [edited(s, "3", "I", "'user:'") for s in ("n", "s", "a")]
+    kept = "role || ':' || txt"
+
+    def kept_if(initial: str, state: str) -> str:
+        return f"CASE WHEN usable AND left(role, 1) = '{initial}' THEN {edited(state, 'extra', 'K', kept)} ELSE {none} END"
+
+    def recast(state: str, role: str) -> str:
+        line = f"'{role}:' || txt"
+        return f"CASE WHEN usable THEN {edited(state, '3 + extra', 'R', line)} ELSE {none} END"
+
+    deleted = {s: edited(s, "4", "D", None) for s in "nsua"}
+    to_user = [x for s in "nsa" for x in (kept_if("u", s), recast(s, "user"))]
+    return f"""WITH RECURSIVE t AS (SELECT list(crc ORDER BY n) AS tab FROM (SELECT n, list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS crc FROM range(256) g(n))),
+k AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT k.*, xor(list_reduce(list_concat([4294967295], [ascii(x)::BIGINT FOR x IN string_split(key, '')]),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS kind FROM k, t),
+r0 AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS txt,
+  unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE kind <> 0),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, txt, copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, txt ORDER BY turn NULLS FIRST, copy) AS seen, regexp_replace(txt, '[\x20\x09-\x0D]+$', '') AS said FROM r0),
+r AS MATERIALIZED (SELECT *, CASE WHEN said = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM r1),
+f AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS usable, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS extra FROM r),
+d AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS n, {none} AS s, {none} AS u, {none} AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, {deleted['n']}, {least(deleted['s'], kept_if('s', 'n'))}, {least(deleted['u'], *to_user)},
+    {least(deleted['a'], kept_if('a', 'u'), recast('u', 'assistant'))}
+  FROM (SELECT conv_id, i, n, s, u, {least('a', edited('u', '3', 'I', "'assistant:'"))} AS a, role, txt, usable, extra
+    FROM (SELECT d.conv_id, f.i, n, s, {least('u', *inserted_u)} AS u, a, role, txt, usable, extra
+      FROM d JOIN f ON d.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = d.i + 1))),
+l AS (SELECT conv_id, {least('n', 'a', edited('u', '3', 'I', "'assistant:'"))} AS z
+  FROM (SELECT conv_id, n, a, {least('u', *inserted_u)} AS u FROM d QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT l.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, z.c AS cost, z.a AS audit, sha256(z.o[2:]) AS repaired_sha256
+FROM l LEFT JOIN c ON l.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 # The other operators rest on hashes, tokenizers, compressors or fitted models and are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": _rules_sql(), "op11_centroid_clusters": _clusters_sql()}
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules": _rules_sql(), "op11_centroid_clusters": _clusters_sql(), "op12_conversation_repair": _repair_sql()}
