@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm import additive, centroids, conversations, mixing, packing, repeats, repetition, secrets, simhash, sketches, token_files, toxicity
+from flowsieve.llm import additive, centroids, conversations, jaccard_join, mixing, packing, repeats, repetition, secrets, simhash, sketches, token_files, toxicity
 from flowsieve.llm.common import held_out
 from flowsieve.llm.tokens import Vocabulary
 from flowsieve.session import scratch_path
@@ -126,6 +126,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(conversations.damage(rows), rows)
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_quality_scores": op2_quality_scores,
@@ -139,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_centroid_clusters": op11_centroid_clusters,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 
@@ -256,5 +261,26 @@ SELECT l.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM l LEFT JOIN c ON l.conv_id IS NOT DISTINCT FROM c.conv_id"""
 
 
+# Every shingle of every set is joined, then reachability spelled out.
+_JACCARD_SQL = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)] END)) AS shingles FROM w),
+d AS MATERIALIZED (SELECT doc_id, len(shingles) AS n, md5(array_to_string(shingles, chr(10))) AS id, shingles FROM g),
+s AS MATERIALIZED (SELECT id, any_value(n) AS n, any_value(shingles) AS shingles, min(doc_id) AS lowest FROM d WHERE n > 0 GROUP BY id),
+e AS MATERIALIZED (SELECT id, n, unnest(shingles) AS x FROM s),
+l AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x = b.x AND a.id < b.id
+    WHERE 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+p AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT id, id AS reached FROM s UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.reached),
+c AS (SELECT r.id, min(s.lowest) AS component_id FROM r JOIN s ON s.id = r.reached GROUP BY r.id)
+SELECT doc_id, n::BIGINT AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id FROM d LEFT JOIN c USING (id)"""
+
+
 # The other operators rest on hashes, tokenizers, compressors or fitted models and are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": _rules_sql(), "op11_centroid_clusters": _clusters_sql(), "op12_conversation_repair": _repair_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op8_quality_rules": _rules_sql(),
+    "op11_centroid_clusters": _clusters_sql(),
+    "op12_conversation_repair": _repair_sql(),
+    "op13_jaccard_join": _JACCARD_SQL,
+}
