@@ -59,29 +59,30 @@ def _flow_sum(*fields: str) -> Column:
     return total
 
 
-def probe_windows(events: DataFrame, settings: ProbeSettings = ProbeSettings(), extra_keys: tuple[str, ...] = ()) -> DataFrame:
-    """One row per (window, source): counts, exact distinct fan-out, volumes and labels.
-
-    The two exact distinct counts make Spark pre-aggregate on (key, address) and
-    (key, port) before the shuffle, so one noisy source is spread over many tasks.
-    """
+def measures() -> list[Column]:
+    """What windows count of an event: source, time, destinations, volumes and alert flags."""
     event_type, alert = F.col("event_type"), F.col("alert")
     port = lenient_int(F.col("dest_port"))
-    typed = labels.is_event_type_alert(event_type)
-    valid = labels.alert_strict(alert)
-    narrow = add_window(usable_events(events), settings.window_minutes).select(
-        *extra_keys,
-        "window_start",
+    return [
         F.trim("src_ip").alias("src_ip"),
-        "ts",
+        F.col("ts"),
         F.nullif(F.trim(F.coalesce("dest_ip", F.lit(""))), F.lit("")).alias("dest_ip"),
         F.when(port > 0, port).alias("dest_port"),
         _flow_sum("bytes_toserver", "bytes_toclient").alias("bytes"),
         _flow_sum("pkts_toserver", "pkts_toclient").alias("pkts"),
         labels.has_alert_object(alert).alias("any_alert"),
-        typed.alias("typed"),
-        valid.alias("valid"),
-    )
+        labels.is_event_type_alert(event_type).alias("typed"),
+        labels.alert_strict(alert).alias("valid"),
+    ]
+
+
+def probe_windows(events: DataFrame, settings: ProbeSettings = ProbeSettings(), extra_keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (window, source): counts, exact distinct fan-out, volumes and labels.
+
+    The two exact distinct counts make Spark pre-aggregate on (key, address) and
+    (key, port) before the shuffle, so one noisy source is spread over many tasks.
+    """
+    narrow = add_window(usable_events(events), settings.window_minutes).select(*extra_keys, "window_start", *measures())
     return narrow.groupBy(*extra_keys, *KEYS).agg(
         F.count(F.lit(1)).alias("event_count_window"),
         F.count_distinct("dest_ip").alias("unique_dest_ip_window"),
