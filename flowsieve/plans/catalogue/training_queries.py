@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions.hashing import unit_interval
 from flowsieve.operators import evaluation as E
 from flowsieve.operators import models as M
+from flowsieve.operators import neighbours
 from flowsieve.operators import sampling as S
 from flowsieve.plans import event_job, registry
 from flowsieve.plans.catalogue import Query
@@ -88,6 +89,12 @@ def _knn(spark, sf_dir):
     return out.select("vec_id", "prediction", F.round(F.col("near")[4]["distance"], 5).alias("fifth_distance"))
 
 
+def _pruned(spark, sf_dir):
+    train, test = _vectors(spark, sf_dir)
+    out = neighbours.pruned_neighbours(train, test, features="embedding", label="label", key="vec_id", block=128)
+    return out.select("vec_id", "prediction", F.round(F.col("near")[4]["distance"], 5).alias("fifth_distance"))
+
+
 def _rbf(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     model = M.fit_rbf_svc_approx(train, FEATURES, label=LABEL, size=64, max_iter=10)
@@ -176,6 +183,7 @@ QUERIES = [
     Query("j14_gaussian_naive_bayes", _metrics_of("NB", weighted=False), _NB_SQL),
     Query("j15_logistic_regression", _metrics_of("LR", weighted=False)),
     Query("j16_nearest_neighbours", _knn, _KNN_SQL),
+    Query("j16_pruned_neighbours", _pruned, _KNN_SQL),
     Query("j17_rbf_svc_approx", _rbf),
     Query("j18_stratified_folds", _folds, _FOLD_SQL),
     Query("j18_cross_validation", _cross_validated),
