@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.llm.common import components, stored, stored_table
@@ -52,7 +52,7 @@ NARROWEST = 64
 FREQUENT = 64
 MOST_FREQUENT = 65_536
 # Shingles a task counts before it forgets those seen once, and how many it reports.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
 REPORTED = 8_192
 
 # A list with more sets than this is compared in blocks of about so many.
@@ -62,6 +62,8 @@ BLOCK_ROWS = 2_048
 BLOCK_SHINGLES = 500_000
 # Texts are picked by the bucket of their row before they are joined; at most so many rows are broadcast.
 BUCKETS = 262_144
+# Texts decoded at a time.
+TEXTS = 128
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,9 +151,9 @@ def frequent_shingles(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
             return found, times
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                waiting.append(shingle_set(text, shingle))
-                size += len(waiting[-1])
+            for part in _slices(batch):
+                waiting += [shingle_set(text, shingle) for text in part.column(0).to_pylist()]
+                size += sum(map(len, waiting[-part.num_rows :]))
                 if size >= COUNTED:
                     keys, counts = merged()
                     kept = counts > 1
@@ -170,33 +172,50 @@ def _set_id(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), HASH_SEED)).view(np.int64))
 
 
-SKETCHED = "set bigint, n bigint, keys array<bigint>, width int, sketch binary, wider binary, small binary"
+SKETCHED = {
+    "set": pa.int64(), "n": pa.int64(), "keys": pa.list_(pa.int64()), "width": pa.int32(),
+    "sketch": pa.binary(), "wider": pa.binary(), "small": pa.binary(),
+}
+
+
+def _sketch(text: str | None, frequent: np.ndarray, shingle: int) -> tuple:
+    hashes = shingle_set(text, shingle)
+    n = len(hashes)
+    if not n:
+        return None, 0, None, None, None, None, None
+    width = band_width(n)
+    # A set near the end of its band can link with one of the next.
+    above = DENOMINATOR * n >= NUMERATOR * 2 * width
+    return (
+        _set_id(hashes), n, listed(hashes, frequent).view(np.int64), width, parity_sketch(hashes, width),
+        parity_sketch(hashes, 2 * width) if above else None, hashes.tobytes() if n < LARGEST_LIGHT else None,
+    )
 
 
 def sketched(docs: DataFrame, frequent: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, row`` of every document with its set's id, size, listed shingles, sketches and, if it may be light, shingles."""
-
-    @F.pandas_udf(SKETCHED)
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in texts:
-            hashes = shingle_set(text, shingle)
-            n = len(hashes)
-            if not n:
-                out.append((0, 0, None, 0, None, None, None))
-                continue
-            width = band_width(n)
-            # A set near the end of its band can link with one of the next.
-            above = DENOMINATOR * n >= NUMERATOR * 2 * width
-            out.append((
-                _set_id(hashes), n, listed(hashes, frequent).view(np.int64), width, parity_sketch(hashes, width),
-                parity_sketch(hashes, 2 * width) if above else None, hashes.tobytes() if n < LARGEST_LIGHT else None,
-            ))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SKETCHED.split(", ")])
-
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), sketch("text").alias("s")).select("doc_id", "row", "s.*")
-    # The empty set has no id.
-    return rows.withColumn("set", F.when(F.col("n") > 0, F.col("set")))
+    """``doc_id, row`` of every document with its set's id, size, listed shingles, sketches and, if it may be light, shingles.
+
+    The empty set has no id.
+    """
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                columns = zip(*[_sketch(t, frequent, shingle) for t in part.column("text").to_pylist()])
+                arrays = [pa.array(c, t) for c, t in zip(columns, SKETCHED.values())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), *arrays], ["doc_id", "row", *SKETCHED])
+
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(
+        sketches, f"doc_id {id_type}, row bigint, set bigint, n bigint, keys array<bigint>, width int, sketch binary, wider binary, small binary"
+    )
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that few texts are held as Python strings."""
+    for at in range(0, batch.num_rows, TEXTS):
+        yield batch.slice(at, TEXTS)
 
 
 def light_links(small: DataFrame) -> DataFrame:
@@ -334,10 +353,14 @@ def families(banded: DataFrame, lists: DataFrame) -> DataFrame:
 def heavy_links(docs: DataFrame, members: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Forests of the exact links within each family of ``members(set, family, row, n)``."""
 
-    @F.pandas_udf("set bigint, hashes binary")
-    def whole(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, shingle) for t in texts]
-        return pd.DataFrame({"set": [_set_id(s) for s in sets], "hashes": [s.tobytes() for s in sets]})
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                sets = [shingle_set(t, shingle) for t in part.column("text").to_pylist()]
+                # Repeated rows bring a set more than once, rows of equal hash another one.
+                kept = [i for i, (s, w) in enumerate(zip(sets, part.column("set").to_pylist())) if _set_id(s) == w]
+                chosen = part.select(["family", "shingles", "set"]).take(pa.array(kept, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array([sets[i].tobytes() for i in kept], pa.binary())], ["family", "shingles", "set", "hashes"])
 
     totals = members.groupBy("family").agg(F.sum("n").alias("shingles"))
     wanted = stored(members.join(totals, "family").select("set", "family", "row", "shingles"))
@@ -346,9 +369,8 @@ def heavy_links(docs: DataFrame, members: DataFrame, shingle: int = SHINGLE) ->
     buckets = wanted.select(bucket.alias("bucket")).distinct()
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").withColumn("bucket", bucket)
     texts = texts.join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket")
-    found = texts.join(wanted, "row").select("family", "shingles", F.col("set").alias("wanted"), whole("text").alias("s"))
-    # Repeated rows bring a set more than once, rows of equal hash another one.
-    found = found.where(F.col("wanted") == F.col("s.set")).select("family", "shingles", "s.set", "s.hashes")
+    found = texts.join(wanted, "row").select("family", "shingles", "set", "text")
+    found = found.mapInArrow(whole, "family bigint, shingles bigint, set bigint, hashes binary")
     dealt = _in_blocks(found, F.ceil(F.col("shingles") / BLOCK_SHINGLES), ["family", "set", "hashes"])
     return dealt.groupBy("family", "first", "second").applyInPandas(_set_forest, "a bigint, b bigint")
 
@@ -367,7 +389,14 @@ def set_links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE) -> DataF
     banded = sets.select("set", "n", "keys", F.explode(bands).alias("band")).select("set", "n", "keys", "band.*")
     index = banded.select("set", "n", "width", F.explode("keys").alias("key"))
     counts = index.groupBy("key", "width").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    lists = stored(index.join(counts, ["key", "width"]).select("key", "width", "set", "n", "sets"))
+    few = index.join(counts.where(F.col("sets") <= PAIRED_ROWS), ["key", "width"])
+    by_size = Window.partitionBy("key", "width").orderBy("n")
+    before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    # In order of size, a set that fits neither neighbour fits no other set of its list.
+    fits = (DENOMINATOR * before >= NUMERATOR * F.col("n")) | (DENOMINATOR * F.col("n") >= NUMERATOR * after)
+    few = few.withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits").drop("fits")
+    many = index.join(counts.where(F.col("sets") > PAIRED_ROWS), ["key", "width"])
+    lists = stored(few.unionByName(many).select("key", "width", "set", "n", "sets"))
     possible = F.col("n") < LARGEST_LIGHT
     light = {r.n: r["count"] * subset_count(r.n) for r in sets.where(possible).groupBy("n").count().collect()}
     heavy = {r.n: r.scanned for r in lists.where(possible).groupBy("n").agg(F.sum("sets").alias("scanned")).collect()}

@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from flowsieve.llm import mixing, repetition, secrets
 from tests.llm.rows import documents, empty, prose, words
-from tests.llm.test_simhash import brute_groups, brute_print
+from tests.llm.test_near_copies import brute_groups
 from tests.llm.test_tokens import check_packing
 
 
@@ -18,7 +18,7 @@ def brute_kept(docs):
         n, _, _, _, repeat, lines, shares = repetition.measure(r.text, tuple(limits))
         if n >= 50 and 100 * repeat <= 50 * n and lines <= repetition.LINE_LIMIT and all(s <= m for s, m in zip(shares, limits.values())):
             good.append(r)
-    groups = brute_groups([brute_print(r.text) for r in good])
+    groups = brute_groups([r.text for r in good])
     return [r for i, r in enumerate(good) if groups[i] == i]
 
 
