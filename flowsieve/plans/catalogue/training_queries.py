@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions.hashing import unit_interval
 from flowsieve.operators import evaluation as E
 from flowsieve.operators import models as M
-from flowsieve.operators import neighbours
+from flowsieve.operators import bayes_curves, neighbours
 from flowsieve.operators import sampling as S
 from flowsieve.plans import event_job, registry
 from flowsieve.plans.catalogue import Query
@@ -75,6 +75,15 @@ def _curve(spark, sf_dir):
     return M.learning_curve(rows, make, label=LABEL, key=KEY, fractions=(0.2, 0.4, 0.6, 0.8, 1.0), folds=3)
 
 
+def _bayes_curve(spark, sf_dir):
+    out = bayes_curves.bayes_curve(flow_table(spark, sf_dir), FEATURES, label=LABEL, key=KEY)
+    return out.select("fraction", *[F.round(c, 9).alias(c) for c in out.columns if c != "fraction"])
+
+
+def _bayes_folds(spark, sf_dir):
+    return bayes_curves.bayes_folds(flow_table(spark, sf_dir), FEATURES, label=LABEL, key=KEY)
+
+
 def _vectors(spark, sf_dir):
     vectors = read_table(spark, sf_dir, "embeddings").select(
         "vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("label")
@@ -174,6 +183,38 @@ _NB_SQL = (
     "coalesce(2 * precision_attack * recall_attack / nullif(precision_attack + recall_attack, 0), 0.0) AS f1_attack FROM r"
 )
 
+def _bayes_sql(fractions: tuple[float, ...]) -> str:
+    """``cm``: confusion counts of every fraction, fold and side, each training set aggregated from its rows."""
+    stats = ", ".join(f"avg({f}) AS m_{f}, var_pop({f}) AS v_{f}" for f in FEATURES)
+    widest = "greatest(" + ", ".join(f"var_samp({f})" for f in FEATURES) + ")"
+    terms = "".join(f" - 0.5 * ln(v_{f} + e) - ({f} - m_{f}) * ({f} - m_{f}) / (2 * (v_{f} + e))" for f in FEATURES)
+    return (
+        f"WITH {flow_cte()}, fo AS (SELECT *, (row_number() OVER (PARTITION BY Label ORDER BY {rank_sql(42)}) - 1) % 5 AS fold, "
+        "('0x' || substr(md5('43:' || row_key), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u FROM fl), "
+        f"g AS (SELECT fraction, fold AS held FROM (SELECT unnest({list(fractions)}::DOUBLE[]) AS fraction), (SELECT DISTINCT fold FROM fo)), "
+        f"al AS (SELECT fraction, held, count(*) AS rows, 1e-9 * {widest} AS e FROM g JOIN fo ON fold <> held AND u < fraction GROUP BY ALL), "
+        f"md AS (SELECT fraction, held, Label AS y, count(*) AS n, {stats} FROM g JOIN fo ON fold <> held AND u < fraction GROUP BY ALL), "
+        f"sc AS (SELECT fraction, held, fo.fold, row_key, fo.Label, y, ln(n / rows){terms} AS score FROM md JOIN al USING (fraction, held) JOIN fo ON fo.fold = held OR u < fraction), "
+        "pr AS (SELECT fraction, held, CASE WHEN fold = held THEN 'valid' ELSE 'train' END AS side, Label, arg_max(y, score) AS p FROM sc GROUP BY fraction, held, fold, row_key, Label), "
+        "cm AS (SELECT fraction, held AS fold, side, Label, p, count(*) AS n FROM pr GROUP BY ALL)"
+    )
+
+
+_BAYES_CURVE_SQL = (
+    f"{_bayes_sql(bayes_curves.FRACTIONS)}, x AS (SELECT fraction, fold, side, Label AS c, n AS s, 0 AS q, CASE WHEN Label = p THEN n ELSE 0 END AS h FROM cm "
+    "UNION ALL SELECT fraction, fold, side, p, 0, n, 0 FROM cm), k AS (SELECT fraction, fold, side, c, sum(s) AS s, 2 * sum(h) / (sum(s) + sum(q)) AS f1 FROM x GROUP BY ALL), "
+    "f AS (SELECT fraction, fold, side, sum(f1 * s) / sum(s) AS f1 FROM k GROUP BY ALL) "
+    "SELECT fraction, round((SELECT avg(rows) FROM al WHERE al.fraction = f.fraction), 9) AS train_rows, "
+    + ", ".join(f"round({fn}(f1) FILTER (side = '{side}'), 9) AS {side}_{name}" for side in ("train", "valid") for name, fn in (("mean", "avg"), ("std", "stddev_pop")))
+    + " FROM f GROUP BY fraction"
+)
+_BAYES_FOLD_SQL = (
+    f"{_bayes_sql((1.0,))}, c AS (SELECT fold, coalesce(sum(n) FILTER (Label = 1 AND p = 1), 0) AS tp, coalesce(sum(n) FILTER (Label = 1 AND p <> 1), 0) AS fn, "
+    "coalesce(sum(n) FILTER (Label <> 1 AND p = 1), 0) AS fp, coalesce(sum(n) FILTER (Label <> 1 AND p <> 1), 0) AS tn FROM cm WHERE side = 'valid' GROUP BY fold), "
+    "r AS (SELECT *, (tp + tn) / (tp + tn + fp + fn) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision_attack, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall_attack FROM c) "
+    "SELECT *, coalesce(2 * precision_attack * recall_attack / nullif(precision_attack + recall_attack, 0), 0.0) AS f1_attack FROM r"
+)
+
 QUERIES = [
     Query("j9_scaled_on_train", _scaled, _SCALED_SQL),
     Query("j10_decision_tree", _metrics_of("DT")),
@@ -186,6 +227,8 @@ QUERIES = [
     Query("j16_pruned_neighbours", _pruned, _KNN_SQL),
     Query("j17_rbf_svc_approx", _rbf),
     Query("j18_stratified_folds", _folds, _FOLD_SQL),
+    Query("j18_naive_bayes_folds", _bayes_folds, _BAYES_FOLD_SQL),
+    Query("j19_naive_bayes_curve", _bayes_curve, _BAYES_CURVE_SQL),
     Query("j18_cross_validation", _cross_validated),
     Query("j19_learning_curve", _curve),
     Query("j26_feature_importance", _importance),
