@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from flowsieve.functions.hashing import unit_interval
 from flowsieve.functions.scalars import iso_utc, lenient_int
+from flowsieve.operators import change_tree
 from flowsieve.operators.evaluation import confusion_counts
 from flowsieve.plans.catalogue import Query
 from flowsieve.plans.stand_in import (
@@ -146,6 +147,39 @@ def _run_tables(spark, sf_dir):
 
 _SPLIT = "CASE WHEN ((('0x' || substr(md5('7:' || row_key), 1, 15))::BIGINT) % 1000000) / 1000000.0 < 0.8 THEN 'train' ELSE 'test' END"
 
+# The second version of the orders: some gone, some dearer, some new.
+_GONE, _DEARER, _NEW = "o_orderkey % 101 = 0", "o_orderkey % 97 = 1", "o_orderkey % 103 = 2"
+_FIRST_NEW_KEY = 10_000_000
+
+
+def _versions(spark, sf_dir):
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    price = F.when(F.expr(_DEARER), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    later = orders.where(f"NOT ({_GONE})").withColumn("o_totalprice", price)
+    later = later.unionByName(orders.where(_NEW).withColumn("o_orderkey", F.col("o_orderkey") + _FIRST_NEW_KEY))
+    before, after = scratch_path(spark, "version"), scratch_path(spark, "version")
+    change_tree.write_version(orders, before, "o_orderkey")
+    change_tree.write_version(later, after, "o_orderkey")
+    return before, after
+
+
+def _changed_cells(spark, sf_dir):
+    return change_tree.changed_cells(spark, *_versions(spark, sf_dir))
+
+
+def _changed_keys(spark, sf_dir):
+    return change_tree.changed_keys(spark, *_versions(spark, sf_dir), "o_orderkey")
+
+
+_VERSIONS = (
+    f"WITH a AS (SELECT o_orderkey AS k, o_totalprice AS p FROM orders), b AS (SELECT o_orderkey AS k, CASE WHEN {_DEARER} THEN o_totalprice + 1 ELSE o_totalprice END AS p "
+    f"FROM orders WHERE NOT ({_GONE}) UNION ALL SELECT o_orderkey + {_FIRST_NEW_KEY}, o_totalprice FROM orders WHERE {_NEW}), "
+    "j AS (SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS old, b.k IS NOT NULL AS new, a.p IS DISTINCT FROM b.p AS other FROM a FULL JOIN b ON a.k = b.k), "
+    f"c AS (SELECT ('0x' || substr(md5(k::VARCHAR), 1, 15))::BIGINT >> {60 - change_tree.BITS * change_tree.LEVELS} AS cell, count(*) FILTER (old) AS rows_before, count(*) FILTER (new) AS rows_after "
+    "FROM j GROUP BY 1 HAVING bool_or(other OR NOT old OR NOT new)) "
+)
+
+
 QUERIES = [
     Query(
         "a1_flow_csv_scan",
@@ -210,6 +244,16 @@ QUERIES = [
         f"WITH {flow_cte()}, h AS (SELECT ('0x' || substr(md5(row_key), 1, 15))::BIGINT AS h FROM fl) "
         "SELECT count(*) AS rows, CAST(sum(h) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor FROM h",
     ),
+    Query(
+        "a9_changed_cells",
+        _changed_cells,
+        f"{_VERSIONS} SELECT *, CASE WHEN rows_before = 0 THEN 'added' WHEN rows_after = 0 THEN 'removed' ELSE 'changed' END AS change FROM c",
+    ),
+    Query(
+        "a9_changed_keys",
+        _changed_keys,
+        f"{_VERSIONS} SELECT k AS o_orderkey, CASE WHEN NOT old THEN 'added' WHEN NOT new THEN 'removed' ELSE 'changed' END AS change FROM j WHERE other OR NOT old OR NOT new",
+    ),
     Query("a9_content_fingerprint", _fingerprint_native),
     Query(
         "a10_run_tables",

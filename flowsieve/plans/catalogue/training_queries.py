@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions.hashing import unit_interval
 from flowsieve.operators import evaluation as E
 from flowsieve.operators import models as M
-from flowsieve.operators import bayes_curves, neighbours
+from flowsieve.operators import bayes_curves, boosting, neighbours
 from flowsieve.operators import sampling as S
 from flowsieve.plans import event_job, registry
 from flowsieve.plans.catalogue import Query
@@ -75,6 +75,15 @@ def _curve(spark, sf_dir):
     return M.learning_curve(rows, make, label=LABEL, key=KEY, fractions=(0.2, 0.4, 0.6, 0.8, 1.0), folds=3)
 
 
+def _boosted(rounds):
+    def run(spark, sf_dir):
+        rows = cut_lineage(flow_table(spark, sf_dir).select(KEY, LABEL, *FEATURES), "flows")
+        model = boosting.fit_boosted_trees(rows, FEATURES, label=LABEL, key=KEY, rounds=rounds)
+        return model.transform(rows).select(KEY, "prediction", F.round("margin", 6).alias("margin"), F.round("score", 6).alias("score"))
+
+    return run
+
+
 def _bayes_curve(spark, sf_dir):
     out = bayes_curves.bayes_curve(flow_table(spark, sf_dir), FEATURES, label=LABEL, key=KEY)
     return out.select("fraction", *[F.round(c, 9).alias(c) for c in out.columns if c != "fraction"])
@@ -183,6 +192,36 @@ _NB_SQL = (
     "coalesce(2 * precision_attack * recall_attack / nullif(precision_attack + recall_attack, 0), 0.0) AS f1_attack FROM r"
 )
 
+def _boosted_sql(rounds: int) -> str:
+    """Every level of every tree as its own sums, splits and nodes."""
+    B = boosting
+    probs = ", ".join(str(i / B.BINS) for i in range(1, B.BINS))
+    edges = ", ".join(f"list_distinct(quantile_cont({f}::DOUBLE, [{probs}])) AS e{i}" for i, f in enumerate(FEATURES))
+    bins = ", ".join(f"len([e FOR e IN e{i} IF e < {f}::DOUBLE])" for i, f in enumerate(FEATURES))
+    ctes = [flow_cte(), f"ed AS MATERIALIZED (SELECT {edges} FROM fl)", f"m0 AS MATERIALIZED (SELECT row_number() OVER () AS id, row_key, Label, [{bins}] AS bins, 0.0::DOUBLE AS margin FROM fl, ed)"]
+    part = f"(({{g}}) * ({{g}}) / (({{h}}) + {B.PENALTY}))"
+    gain = f"0.5 * ({part.format(g='gl', h='hl')} + {part.format(g='ga - gl', h='ha - hl')} - {part.format(g='ga', h='ha')})"
+    for r in range(rounds):
+        drawn = f"('0x' || substr(md5('{42 + r}:' || row_key), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE < {B.ROW_SHARE}"
+        columns = [f + 1 for f in B.columns_of_tree(FEATURES, B.COLUMN_SHARE, 42, r)]
+        ctes.append(f"n{r}_0 AS MATERIALIZED (SELECT id, row_key, Label, bins, margin, 1 AS node, 1 / (1 + exp(-margin)) AS p, {drawn} AS drawn FROM m{r})")
+        for lv in range(B.DEPTH):
+            here = f"{r}_{lv}"
+            ctes += [
+                f"h{here} AS (SELECT node, f, bins[f] AS b, sum(p - Label) AS g, sum(p * (1 - p)) AS h FROM n{here}, (SELECT unnest({columns}) AS f) WHERE drawn AND node >= {2**lv} GROUP BY ALL)",
+                f"c{here} AS (SELECT node, f, b, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(g) OVER w AS ga, sum(h) OVER w AS ha FROM h{here} "
+                "WINDOW u AS (PARTITION BY node, f ORDER BY b), w AS (PARTITION BY node, f))",
+                f"s{here} AS MATERIALIZED (SELECT node, f, b FROM (SELECT *, round({gain}, {B.GAIN_DECIMALS}) AS gain FROM c{here}) WHERE hl >= {B.LEAST_CURVATURE} AND ha - hl >= {B.LEAST_CURVATURE} "
+                f"AND gain > {B.LEAST_GAIN} QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, b) = 1)",
+                f"n{r}_{lv + 1} AS MATERIALIZED (SELECT id, row_key, Label, bins, margin, p, drawn, CASE WHEN s.node IS NULL THEN n.node ELSE 2 * n.node + (bins[s.f] > s.b)::INT END AS node FROM n{here} n LEFT JOIN s{here} s USING (node))",
+            ]
+        ctes += [
+            f"l{r} AS (SELECT node, -{B.STEP} * sum(p - Label) / (sum(p * (1 - p)) + {B.PENALTY}) AS w FROM n{r}_{B.DEPTH} WHERE drawn GROUP BY node)",
+            f"m{r + 1} AS MATERIALIZED (SELECT id, row_key, Label, bins, margin + w AS margin FROM n{r}_{B.DEPTH} JOIN l{r} USING (node))",
+        ]
+    return f"WITH {', '.join(ctes)} SELECT row_key, (margin > 0)::INT AS prediction, round(margin, 6) AS margin, round(1 / (1 + exp(-margin)), 6) AS score FROM m{rounds}"
+
+
 def _bayes_sql(fractions: tuple[float, ...]) -> str:
     """``cm``: confusion counts of every fraction, fold and side, each training set aggregated from its rows."""
     stats = ", ".join(f"avg({f}) AS m_{f}, var_pop({f}) AS v_{f}" for f in FEATURES)
@@ -221,6 +260,8 @@ QUERIES = [
     Query("j11_random_forest", _metrics_of("RFC")),
     Query("j12_linear_svc", _metrics_of("LSVC")),
     Query("j13_boosted_trees", _metrics_of("XGB", weighted=False)),
+    Query("j13_second_order_tree", _boosted(1), _boosted_sql(1)),
+    Query("j13_second_order_boosting", _boosted(3), _boosted_sql(3)),
     Query("j14_gaussian_naive_bayes", _metrics_of("NB", weighted=False), _NB_SQL),
     Query("j15_logistic_regression", _metrics_of("LR", weighted=False)),
     Query("j16_nearest_neighbours", _knn, _KNN_SQL),

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.scalars import iso_utc, lenient_int, text_or
 from flowsieve.operators import windows as W
+from flowsieve.operators.kept_windows import WindowStore
 from flowsieve.plans.catalogue import Query
 from flowsieve.plans.stand_in import event_cte, event_records
+from flowsieve.session import scratch_path
 
 DAY = W.ProbeSettings(window_minutes=1440, min_event_count=4, min_unique_dest_ip=4, min_unique_dest_port=3)
 FIVE = W.ProbeSettings()
@@ -102,6 +104,15 @@ def _aggregation(settings):
     return run
 
 
+def _appended(spark, sf_dir):
+    """The events in three appends that each hold all days, so two of them are late throughout."""
+    events = event_records(spark, sf_dir)
+    store = WindowStore(spark, scratch_path(spark, "kept-windows"), DAY)
+    for number in range(3):
+        store.append(events.where(F.pmod("row_id", F.lit(3)) == number), number)
+    return _iso_key(store.windows(2), *_COUNTS, iso_utc(F.col("first_seen")).alias("first_seen"), iso_utc(F.col("last_seen")).alias("last_seen"))
+
+
 def _dropped(spark, sf_dir):
     return W.dropped_counts(event_records(spark, sf_dir))
 
@@ -193,6 +204,7 @@ QUERIES = [
         f"WITH {window_ctes('INTERVAL 5 MINUTE')} SELECT {ISO}, count(*) AS n FROM use GROUP BY 1",
     ),
     Query("d2_window_aggregation", _aggregation(DAY), f"WITH {window_ctes()} {_AGG}"),
+    Query("d2_appended_windows", _appended, f"WITH {window_ctes()} {_AGG}"),
     Query(
         "d2_window_aggregation_5min", _aggregation(FIVE), f"WITH {window_ctes('INTERVAL 5 MINUTE')} {_AGG}"
     ),
