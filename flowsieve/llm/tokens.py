@@ -10,6 +10,8 @@ Boundaries by kind of vocabulary:
 * ``spaced_words``: spaces and line feeds separate units and carry no ids themselves, and case does not
   matter, as the tokenizer lowers it.
 
+A text that may hold a special token's string is encoded as a whole, since such a token goes before all units.
+
 The vocabulary file is read by the driver and broadcast; its size is that of one vocabulary.
 """
 
@@ -24,8 +26,8 @@ from pyspark.sql import SparkSession
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core already
 
-# Units remembered per Python worker, and the characters handled between two look-ups.
-REMEMBERED_UNITS = 500_000
+# Units remembered per Python worker, half of them in a second generation, and the characters handled between two look-ups.
+REMEMBERED_UNITS = 700_000
 BATCH_CHARS = 1_000_000
 
 _ADJACENT_SPACE = re.compile(r"\s\s")
@@ -60,16 +62,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(vocabulary)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        # Units may be lowered, so a special token's string in any case counts.
+        self._special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
         self._split = _SPLITS[boundary]
         self._marks = boundary is not None
+        # Units met lately, and those met before them.
         self._known: dict[str, bytes] = {"": b""}
+        self._before: dict[str, bytes] = {}
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         out: list[bytes] = []
         batch: list[str] = []
         chars = 0
         for text in texts:
+            if text and self._special and "<" in text and self._special.search(text):
+                out += self._batch(batch)
+                out.append(array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+                batch, chars = [], 0
+                continue
             batch.append(text or "")
             chars += len(batch[-1])
             if chars >= BATCH_CHARS:
@@ -81,6 +92,9 @@ class Encoder:
         units = [self._split(text) for text in texts]
         met = set().union(*units)
         new = met.difference(self._known)
+        again = new.intersection(self._before)
+        self._known |= zip(again, map(self._before.__getitem__, again))
+        new -= again
         if self._marks:
             # A final mark is a token apart from the letters, so the bare unit is what is new.
             marked = [unit for unit in new if _final_mark(unit)]
@@ -95,8 +109,8 @@ class Encoder:
             self._known[unit] = self._known[unit[:-1]] + self._known[unit[-1]]
         known = self._known.__getitem__
         out = [b"".join(map(known, parts)) for parts in units]
-        if len(self._known) > REMEMBERED_UNITS:
-            self._known = {"": b""} | {unit: self._known[unit] for unit in met}
+        if len(self._known) > REMEMBERED_UNITS // 2:
+            self._before, self._known = self._known, {"": b""}
         return out
 
 

@@ -49,7 +49,6 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert len(copies) == sum(-(-r.taken // r.size) for r in mixing.mix(redacted).collect() if r.taken)
     assert all(Counter(words(r.text)) <= Counter(words(clean[r.doc_id])) for r in copies)
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     check_packing(packed.collect(), [(r.doc_id, [*plain.encode(r.text, add_special_tokens=False).ids, 0]) for r in copies], 1024)
     assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
 

@@ -14,6 +14,7 @@ VOCABULARIES = [("word_bpe_49k.json", "spaced_words"), ("byte_bpe_50k.json", "by
 ODD = [
     "", " ", "a  b", "a   b", " a", "a ", "a\n b", "a\n  b", "a \nb", "\n\n a\t b", "é ́x", "a  b", "x \x1c y", "a\x00b c",
     "I'm don't 'S <|endoftext|> b", "中文 字,x", "İ, ΣΣ ς. K,\n.x", "a\r\nb \r\n c", "end.\nStart, x.y z,", "!!, a.. b,, ,", "3, 4.5 6.",
+    "a <|endoftext|>", "x  <|EndOfText|> y", "<|startoftext|>a\n<|endoftext|> \n<|endoftext|>", "<| endoftext |> <|x|>",
 ]
 
 
@@ -22,7 +23,6 @@ def test_remembered_units_change_nothing(name, boundary, monkeypatch):
     with open(public_tokenizers.path(name), encoding="utf-8") as file:
         text = file.read()
     plain = Tokenizer.from_str(text)
-    plain.encode_special_tokens = True
     monkeypatch.setattr(tokens, "REMEMBERED_UNITS", 50)
     monkeypatch.setattr(tokens, "BATCH_CHARS", 40)
     encoder = tokens.Encoder(text, boundary)
@@ -37,7 +37,6 @@ def vocabulary(spark, name, boundary):
 
 def brute_ids(docs, name, end):
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     return [(r.doc_id, [*plain.encode(r.text or "", add_special_tokens=False).ids, end]) for r in docs.collect()]
 
 
