@@ -8,7 +8,7 @@ the logistic of an intercept plus one table entry per feature and pair: vectoris
 look-ups and additions.
 
 The model is fitted by the driver on the features (not the texts) of at most ``TRAIN_ROWS``
-labelled rows; scoring covers all documents.  Null and empty texts have all-zero features and
+labelled rows; scoring covers all documents and whole texts, however long.  An empty table gives no row.  Null and empty texts have all-zero features and
 are scored like any other.  Without labels of both kinds every score is 0.5 or the share of
 the one kind there is.  Only ``doc_id`` and ``text`` are read.  Repeated rows get equal scores.
 """

@@ -13,7 +13,7 @@ spanning forest of its links, at most one link per set, never all pairs.
 
 Words are split and lower-cased by ASCII rules; a text with fewer words than a shingle is one
 shingle.  Nulls and texts without words have the empty set and are copies of each other.  Rows without an
-id take part.  Only texts are compared; all columns are kept.
+id take part.  Only texts are compared; all columns are kept, whatever they are called.  An empty table stays empty.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ pattern with a count.  A placement says that ranks ``lo ..`` of a size go to seq
 at one offset; pieces find theirs by their rank among the pieces of their size.  Ranks come
 from counts per (size, hash range), so a size held by very many pieces is spread.
 
-Null texts are empty; each document ends with the end id, so none is without a piece.  Rows
+Null texts are empty, very long ones give as many pieces as they need; each document ends with the end id, so none is without a piece.  Rows
 that repeat an id are packed separately.  An empty table gives no piece.  Only ``doc_id`` and
 ``text`` are read.
 """

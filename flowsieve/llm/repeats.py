@@ -20,7 +20,7 @@ Then anchors are grouped by growing strings around them, into classes of equal h
 Every byte covered by a window that occurs twice goes.  Strings are compared by 64-bit hashes of all
 their bytes.  Matches never cross documents; overlapping occurrences count.
 
-Null texts are empty, texts shorter than ``length`` bytes keep everything.  Rows are identified by id and
+An empty table gives no row; whole texts are read, however long.  Null texts are empty, texts shorter than ``length`` bytes keep everything.  Rows are identified by id and
 text, so rows without an id or with a repeated one are judged apart, and rows that repeat both
 are copies of each other.  Only ``doc_id`` and ``text`` are read.
 """

@@ -4,7 +4,8 @@ Words become numbers and n-grams rolling hashes of them, for several lengths at
 document's share of characters inside n-grams and lines that it has shown before is held
 against a limit per length.  Each row is judged by itself, in numpy, over its whole text.
 
-Null and empty texts have no words and fail the base rules.  Repeated rows get equal results.
+Null and empty texts have no words and fail the base rules, an empty table gives no row, and whole texts are
+read, however long.  Repeated rows get equal results.
 Only ``text`` is read; the measures replace columns of the same names.
 """
 

@@ -6,8 +6,8 @@ and code phrases and with the text around the candidate, and what the candidate
 compressed size, per byte, is its novelty.  Words, paths and repeated identifiers add little,
 random keys cannot be shortened.
 
-Null and empty texts have no spans.  Each row is scanned by itself, over its whole text; rows
-that are equal get equal spans.  Only ``text`` is read.  Spans are in code points, end exclusive.
+Null and empty texts have no spans, an empty table gives no row.  Each row is scanned by itself, over its whole text,
+however long; rows that are equal get equal spans.  Only ``text`` is read.  Spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -91,11 +91,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty) -> list[tuple[str, int, int]]:
     """Incompressible strings after a sensitive word, outside the spans already found."""
     found = []
+    # Both are walked in order: of the spans that begin before a candidate's end, the last end decides.
+    waiting, reached = iter(sorted(s[1:] for s in taken)), 0
+    following = next(waiting, None)
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
+        while following and following[0] < end:
+            reached, following = max(reached, following[1]), next(waiting, None)
         body = m[0].strip("=-_/+")
         mixed = any(c.isdigit() for c in body) and any(c.isalpha() for c in body)
-        if not mixed or len(body) < MIN_LENGTH or any(s < end and start < e for _, s, e in taken):
+        if not mixed or len(body) < MIN_LENGTH or reached > start:
             continue
         before = text[max(0, start - CONTEXT_CHARS) : start]
         if not _SENSITIVE.search(before[-NEAR_CHARS:]):

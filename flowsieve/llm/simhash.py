@@ -10,6 +10,7 @@ Few rows share a key unless texts are near copies.  Keys with many fingerprints
 pairs of blocks; each block pair is compared in one numpy step and returns a spanning forest of
 its links, at most one link per fingerprint, never all pairs.
 
+An empty table gives no row; whole texts are read, however long.  Only ``doc_id`` and ``text`` are read.
 Nulls and texts without words have fingerprint zero and are linked like any other.  Only
 distinct fingerprints are compared, so copies cost one row.  Rows without an id take part
 and get the smallest id of their group (null if no row there has one).

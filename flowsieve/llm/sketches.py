@@ -5,6 +5,7 @@ sketch of a union is the ``k`` smallest of both sketches together, so parts may
 and merged.  Two sketches give an estimate of resemblance and containment, one gives an estimate
 of the number of distinct shingles; below ``k`` shingles all of these are exact.
 
+An empty table gives no row; whole texts are read, however long.
 A null text is empty and has an empty sketch; a text of fewer words than a shingle is one shingle.
 Equal texts have equal sketches.  Two empty sketches resemble each other fully, an empty one is
 contained in any.  ``with_next`` orders rows by id descending, null ids last, ties by the text's

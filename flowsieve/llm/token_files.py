@@ -10,7 +10,7 @@ documents in the index and decompresses only their frames, checking each.
 Documents are range-partitioned and sorted by id, a file per partition.  Files are written
 under a temporary name and moved, so a repeated or speculative task leaves the same file.
 
-Null texts are empty; every document ends with the end id.  Null ids come first.  Rows that
+Null texts are empty, very long ones make a frame of their own; every document ends with the end id.  Null ids come first.  Rows that
 repeat an id are kept side by side, in the order of their texts' hashes.  An empty table
 gives no file and no row.  Only ``doc_id`` and ``text`` are read.
 """

@@ -4,14 +4,16 @@ The lexicon machine runs over the lower-cased text and marks words of five class
 threats, targets, negations and words of reported speech.  Insult terms and their weights are
 learned from labelled documents, as whole words or as stems with several endings, next to a
 small fixed list; the other classes are fixed lists.  Inside a clause three small transducers
-run in step: one counts the words since a negation, one since a target, one remembers reported
-speech.  Their states scale the weight of the insult or threat at hand: what is denied or quoted
+read the classes: one counts the words since a negation, one since a target, one remembers reported
+speech.  Each is a table of moves by class; their product, composed once, is the table that runs.  Its
+states scale the weight of the insult or threat at hand: what is denied or quoted
 counts less, what is aimed at somebody more.  A clause scores the sum of its scaled weights;
 a document's score is a logistic function, fitted on the same sample, of the sum over its
 clauses, of its worst clause and of the number of words that scored.
 
 The sample is at most ``TRAIN_ROWS`` labelled rows; all its terms are counted and judged on executors,
-those that are learned reach the driver.  Null and empty texts have no clause and the lowest score.
+those that are learned reach the driver.  Whole texts are read, however long; a clause may begin
+anywhere before the word that scores.  An empty table gives no row.  Null and empty texts have no clause and the lowest score.
 Without labels of both kinds the fixed lists alone are used, with fixed coefficients.  Only
 ``doc_id`` and ``text`` are read.  Repeated rows get equal scores.
 """
@@ -61,6 +63,43 @@ _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
 
 
+# What the transducers read of a word.
+SYMBOLS = (INSULT, THREAT, TARGET, NEGATION, REPORT, None)
+
+
+_COLUMN = {symbol: i for i, symbol in enumerate(SYMBOLS)}
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Moves ``[state][symbol]`` and the factor each state gives; state 0 is the start."""
+
+    moves: list[list[int]]
+    factors: list[float]
+
+
+def since(symbol: str, reach: int, factor: float) -> Transducer:
+    """Counts the words since ``symbol``; within ``reach`` of it the factor holds.  State 0 is out of reach, 1 the word itself."""
+    far = [1 if s == symbol else 0 for s in SYMBOLS]
+    near = [[1 if s == symbol else i + 1 if i <= reach else 0 for s in SYMBOLS] for i in range(1, reach + 2)]
+    return Transducer([far, *near], [1.0, *[factor] * (reach + 1)])
+
+
+def ever(symbol: str, factor: float) -> Transducer:
+    """Remembers ``symbol`` to the end of the clause."""
+    return Transducer([[int(s == symbol) for s in SYMBOLS], [1] * len(SYMBOLS)], [1.0, factor])
+
+
+def composed(*parts: Transducer) -> tuple[list[list[int]], list[tuple[float, ...]]]:
+    """Moves of the product machine, and in each of its states the factor of every part."""
+    states = [()]
+    for part in parts:
+        states = [(*s, i) for s in states for i in range(len(part.moves))]
+    number = {state: i for i, state in enumerate(states)}
+    moves = [[number[tuple(p.moves[i][c] for p, i in zip(parts, state))] for c in range(len(SYMBOLS))] for state in states]
+    return moves, [tuple(p.factors[i] for p, i in zip(parts, state)) for state in states]
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Weights of whole words and of stems, and the logistic coefficients of a document."""
@@ -83,6 +122,9 @@ class Grammar:
             self._machine.add_word(term, len(term))
         self._machine.make_automaton()
         self._coefficients = lexicon.coefficients
+        self._moves, factors = composed(since(NEGATION, NEGATION_REACH, NEGATED), ever(REPORT, REPORTED), since(TARGET, TARGET_REACH, AIMED))
+        self._scaled = [denied * quoted for denied, quoted, _ in factors]
+        self._aimed = [aimed for *_, aimed in factors]
 
     def _output(self, word: str) -> tuple[str, float] | None:
         """Class and weight the lexicon gives a word: its own, or the heaviest stem's."""
@@ -93,25 +135,20 @@ class Grammar:
 
     def clause(self, text: str) -> tuple[float, int]:
         """Weight of one lower-cased clause, and how many of its words scored."""
-        negation = target = math.inf  # words since
-        reported, waiting, score, hits = 1.0, 0.0, 0.0, 0
+        state, waiting, score, hits = 0, 0.0, 0.0, 0
         for word in _WORDS.findall(text):
-            kind = self._class.get(word)
-            negation, target = negation + 1, target + 1
-            if kind == NEGATION:
-                negation = 0
-            elif kind == REPORT:
-                reported = REPORTED
-            elif kind == TARGET:
-                target = 0
+            kind, weight = self._class.get(word), 0.0
+            if kind is None and (output := self._output(word)):
+                kind, weight = output
+            state = self._moves[state][_COLUMN[kind]]
+            if kind == TARGET:
                 # A target may follow what is aimed at it.
                 score += waiting * (AIMED - 1)
                 waiting = 0.0
-            elif output := self._output(word):
-                kind, weight = output
+            elif weight:
                 hits += 1
-                weight *= (NEGATED if negation <= NEGATION_REACH else 1.0) * reported
-                if target <= TARGET_REACH:
+                weight *= self._scaled[state]
+                if self._aimed[state] != 1.0:
                     score += weight * AIMED
                 elif kind == INSULT:
                     score += weight
@@ -124,15 +161,16 @@ class Grammar:
         """Weights and hits of the clauses in which the lexicon machine matches."""
         lower = (text or "").lower()
         scores, end = [], -1
+        marks, begin = _CLAUSE_END.finditer(lower), 0
+        mark = next(marks, None)
         for last, length in self._machine.iter(lower):
             start = last - length + 1
             if start <= end or start and (lower[start - 1].isalpha()):
                 continue
-            begin = end + 1
-            for mark in _CLAUSE_END.finditer(lower, max(begin, start - 2_000), start):
-                begin = mark.end()
-            stop = _CLAUSE_END.search(lower, last + 1)
-            end = stop.start() if stop else len(lower)
+            # Clause ends are walked once, alongside the matches.
+            while mark and mark.start() < start:
+                begin, mark = mark.end(), next(marks, None)
+            end = mark.start() if mark else len(lower)
             scores.append(self.clause(lower[begin:end]))
         return [s for s in scores if s[0]]
 

@@ -111,3 +111,43 @@ def test_held_out_accuracy(spark, query, column, least):
     sf_dir = "/root/testdata/sf0.01"
     rows = query(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out").collect()
     assert len(rows) > 50 and sum(r.predicted == r[column] for r in rows) / len(rows) >= least
+
+
+def interpreted(grammar, text):
+    """A clause read word by word with counters in place of composed tables."""
+    negation = target = 99
+    reported, waiting, score = 1.0, 0.0, 0.0
+    for word in text.split():
+        negation, target = negation + 1, target + 1
+        if word in toxicity.SEEDS["negation"]:
+            negation = 0
+        elif word in toxicity.SEEDS["report"]:
+            reported = toxicity.REPORTED
+        elif word in toxicity.SEEDS["target"]:
+            target, score, waiting = 0, score + waiting * (toxicity.AIMED - 1), 0.0
+        elif found := grammar._output(word):
+            weight = found[1] * (toxicity.NEGATED if negation <= toxicity.NEGATION_REACH else 1.0) * reported
+            if target <= toxicity.TARGET_REACH:
+                score += weight * toxicity.AIMED
+            else:
+                score, waiting = score + weight * (found[0] == "insult"), weight
+    return score
+
+
+def test_composed_tables_against_an_interpreter():
+    import random
+
+    rng = random.Random(8)
+    grammar = toxicity.Grammar(toxicity.Lexicon({"zug": 1.5}, {"gru": 0.7}))
+    vocabulary = ["idiot", "kill", "you", "not", "said", "zug", "gruxyz", "house", "and", "the"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 25)))
+        assert grammar.clause(text)[0] == pytest.approx(interpreted(grammar, text), abs=1e-12)
+
+
+def test_a_clause_may_begin_far_before_the_word():
+    grammar = toxicity.Grammar(toxicity.Lexicon())
+    alone = grammar.score("idiot")
+    for gap in (0, 300, 500, 20_000):
+        assert grammar.score("he said so. " + "word " * gap + "idiot") == alone
+    assert grammar.score("he said " + "word " * 5_000 + "idiot") < alone

@@ -63,3 +63,13 @@ def test_query(spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, _, _ in base) for kind in secrets.KINDS[:3])
         assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_overlaps_are_found_in_one_walk():
+    key = "Zk3v9QmX7pL2wT8rB5nY1cD6"
+    text = " ".join(f"secret key{i} is {key[i % 7:]}{i}Qx{i * 37} password={key}{i};" for i in range(300))
+    base, novelty = secrets.base_spans(text), secrets.Novelty()
+    found = secrets.novel_spans(text, base, novelty)
+    free = secrets.novel_spans(text, [], novelty)
+    assert found == [f for f in free if not any(s < f[2] and f[1] < e for _, s, e in base)]
+    assert len(found) < len(free)
