@@ -139,10 +139,11 @@ def cross_validate(df: DataFrame, make: Callable[[int], Pipeline], *, label: str
 
 def learning_curve(
     df: DataFrame,
-    make: Callable[[int], Pipeline],
+    make: Callable[[int], Pipeline] | None,
     *,
     label: str,
     key: str,
+    predict: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
     fractions: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0),
     folds: int = 5,
     seed: int = 42,
@@ -151,7 +152,8 @@ def learning_curve(
     """Weighted F1 on train prefix and validation fold per fraction, mean and deviation.
 
     A fraction keeps the rows whose seeded hash lies in its prefix of the hash range, so
-    smaller training sets are subsets of larger ones.
+    smaller training sets are subsets of larger ones.  ``predict`` takes the place of ``make`` for methods that are
+    no pipeline: it gets training rows and rows to score.
     """
     folded = stratified_folds(df, label=label, key=key, folds=folds, seed=seed).persist()
     position = seeded_hash60(seed + 1, F.col(key)) / F.lit(float(2**60))
@@ -161,8 +163,11 @@ def learning_curve(
             pool, valid = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
             part = pool.where(position < fraction)
             n = part.count()
-            model, on_valid = fit_predict(make(n), part, valid, label=label, weighted=weighted)
-            on_train = model.transform(part).withColumn("prediction", F.col("prediction").cast("int"))
+            if predict:
+                on_train, on_valid = predict(part, part), predict(part, valid)
+            else:
+                model, on_valid = fit_predict(make(n), part, valid, label=label, weighted=weighted)
+                on_train = model.transform(part).withColumn("prediction", F.col("prediction").cast("int"))
             scores = [
                 float(evaluation.weighted_metrics(p, label, "prediction").first()["f1"]) for p in (on_train, on_valid)
             ]

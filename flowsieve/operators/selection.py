@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from flowsieve.operators.manifest import is_forbidden, unique_in_order
 from flowsieve.operators.quantiles import exact_quantiles
 from flowsieve.operators.models import balanced_weights, build_model
+from flowsieve.session import cut_lineage
 
 DEFAULT_BINS = 32
 
@@ -142,6 +143,8 @@ def recursive_elimination(
     """
     step = max(1, min(5, len(features) // 10))
     alive = list(features)
+    # Every round passes over the rows several times.
+    df = cut_lineage(df.select(label, *features), "elimination")
     rounds: list[list[str]] = []
     while len(alive) > max(1, keep):
         ranked = forest_importance(df, alive, label, trees, seed, depth)

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from flowsieve.functions.hashing import unit_interval
 from flowsieve.operators import evaluation as E
 from flowsieve.operators import models as M
-from flowsieve.operators import bayes_curves, boosting, neighbours
+from flowsieve.operators import bayes_curves, boosting, kernel_map, neighbours
 from flowsieve.operators import sampling as S
 from flowsieve.plans import event_job, registry
 from flowsieve.plans.catalogue import Query
+from flowsieve.plans.catalogue.refine_queries import _LABELS
+from flowsieve.plans.catalogue.routing_queries import reason_sql
 from flowsieve.plans.catalogue.sampling_queries import SPLIT_CTE, rank_sql, unit_sql
 from flowsieve.plans.catalogue.window_queries import DAY
-from flowsieve.plans.stand_in import FLOW_FEATURES, event_records, flow_cte, flow_table, read_table
+from flowsieve.plans.stand_in import FLOW_FEATURES, event_cte, event_records, flow_cte, flow_table, read_table
 from flowsieve.session import cut_lineage
 
 LABEL, KEY = "Label", "row_key"
@@ -72,7 +74,7 @@ def _folds(spark, sf_dir):
 def _curve(spark, sf_dir):
     rows = flow_table(spark, sf_dir)
     make = lambda n: M.build_pipeline("DT", FEATURES, label=LABEL, weighted=False, rows=n)
-    return M.learning_curve(rows, make, label=LABEL, key=KEY, fractions=(0.2, 0.4, 0.6, 0.8, 1.0), folds=3)
+    return M.learning_curve(rows, make, label=LABEL, key=KEY, fractions=(0.2, 0.4, 0.6, 0.8, 1.0), folds=5)
 
 
 def _boosted(rounds):
@@ -115,10 +117,62 @@ def _pruned(spark, sf_dir):
 
 def _rbf(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    model = M.fit_rbf_svc_approx(train, FEATURES, label=LABEL, size=64, max_iter=10)
+    model = M.fit_rbf_svc_approx(train, FEATURES, label=LABEL)
     return E.attack_metrics(model.transform(test), LABEL, "prediction")
 
 
+def _landmarks(spark, sf_dir):
+    """Of each row the largest kernel value with a landmark, as a product of mapped rows; there the map is exact."""
+    rows = flow_table(spark, sf_dir).select(KEY, *FEATURES)
+    found = kernel_map.fit_landmarks(rows, FEATURES, key=KEY, size=_MAP_LANDMARKS)
+    own = spark.createDataFrame([(v.tolist(),) for v in found.kernel(found.landmarks * found.scale + found.mean) @ found.root], "own array<double>")
+    # A table of as many rows as there are landmarks.
+    own = F.broadcast(own.agg(F.collect_list("own").alias("own")))
+    products = F.transform("own", lambda o: F.aggregate(F.zip_with(o, F.col("mapped"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+    mapped = rows.select(KEY, found.mapped().alias("mapped")).join(own)
+    return mapped.select(KEY, F.round(F.array_max(products), 5).alias("nearest"))
+
+
+def _landmark_svc(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    model = kernel_map.fit_landmark_svc(train, FEATURES, label=LABEL, key=KEY)
+    return _scored_totals(model.transform(test), probabilities=True)
+
+
+def _scored_totals(predictions, probabilities):
+    """Rows by class, those with a class and those with a usable score: every test row is scored once."""
+    score = F.col("score")
+    usable = score.isNotNull() & ~F.isnan(score) & (score.between(0, 1) if probabilities else F.lit(True))
+    return predictions.groupBy(LABEL).agg(
+        F.count_distinct(KEY).alias("keys"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("prediction").isin(0, 1)).alias("classed"), F.count_if(usable).alias("scored")
+    )
+
+
+def _totals_of(name, weighted=True, probabilities=True):
+    def run(spark, sf_dir):
+        train, test = _split(spark, sf_dir)
+        pipeline = M.build_pipeline(name, FEATURES, label=LABEL, weighted=weighted, rows=train.count())
+        _, predictions = M.fit_predict(pipeline, train, test, label=LABEL, weighted=weighted)
+        return _scored_totals(predictions, probabilities)
+
+    return run
+
+
+def _method_totals(spark, sf_dir):
+    result = registry.get("flow.tree").run(flow_table(spark, sf_dir), label=LABEL, key=KEY, features=FEATURES)
+    return _scored_totals(result.predictions, probabilities=True)
+
+
+def _importance_totals(spark, sf_dir):
+    train, _ = _split(spark, sf_dir)
+    tables = []
+    for name in ("DT", "RFC"):
+        over = {"trees": 20} if name == "RFC" else {}
+        model = M.build_pipeline(name, FEATURES, label=LABEL, rows=train.count(), **over).fit(M.balanced_weights(train, LABEL))
+        tables.append(M.importance_table(spark, M.feature_importance(model, FEATURES)).withColumn("model", F.lit(name)))
+    return tables[0].unionByName(tables[1]).groupBy("model").agg(F.count("feature").alias("features"), F.round(F.sum("importance"), 4).alias("total"))
+
+
 def _importance(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
     pipeline = M.build_pipeline("LR", FEATURES, label=LABEL, weighted=False, rows=train.count())
@@ -155,6 +209,18 @@ def _event_job(spark, sf_dir):
     return out.results.select("App", "Method", "Model", *[f"natural_holdout_{m}" for m in E.METRICS])
 
 
+# The labels of the application's events alone, as in the job.
+_EVENT_ROWS = _LABELS.replace(
+    event_cte(),
+    f"{event_cte().replace('ev AS', 'every_event AS', 1)}, ev AS (SELECT * FROM every_event ev WHERE {reason_sql(EVENT_JOB.app)} IS NOT NULL)",
+    1,
+)
+_EVENT_KEY = f"concat_ws('|', '{EVENT_JOB.app}', strftime(w, '%Y-%m-%dT%H:%M:%SZ'), CASE WHEN trim(src_ip) <> '' THEN src_ip END)"
+_EVENT_SQL = (
+    f"WITH {_EVENT_ROWS} SELECT CASE WHEN {unit_sql(42, _EVENT_KEY)} < 0.8 THEN 'train' ELSE 'test' END AS split, label_source, Target_refined, "
+    "count(*) AS rows, sum(bytes_toserver + bytes_toclient) AS total_bytes FROM lab GROUP BY ALL"
+)
+
 _KNN_SQL = f"""WITH v AS (SELECT vec_id, embedding, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS label,
   {unit_sql(42, 'CAST(vec_id AS VARCHAR)')} AS u FROM embeddings),
 p AS (SELECT t.vec_id, r.label, r.vec_id AS rid, round(sqrt(list_sum(list_transform(list_zip(t.embedding, r.embedding),
@@ -254,6 +320,18 @@ _BAYES_FOLD_SQL = (
     "SELECT *, coalesce(2 * precision_attack * recall_attack / nullif(precision_attack + recall_attack, 0), 0.0) AS f1_attack FROM r"
 )
 
+_MAP_LANDMARKS = 64
+_MAP_SQL = (
+    f"WITH {flow_cte()}, st AS (SELECT " + ", ".join(f"avg({f}) AS a_{f}, stddev_samp({f}) AS s_{f}" for f in FEATURES) + " FROM fl), "
+    "z AS (SELECT row_key, [" + ", ".join(f"({f} - a_{f}) / s_{f}" for f in FEATURES) + "] AS z FROM fl, st), "
+    f"lm AS (SELECT DISTINCT z AS l FROM (SELECT z FROM z ORDER BY {rank_sql(42)} LIMIT {_MAP_LANDMARKS})) "
+    f"SELECT row_key, round(max(exp(-list_sum([(z[i] - l[i]) * (z[i] - l[i]) FOR i IN range(1, {len(FEATURES) + 1})]) / {len(FEATURES)})), 5) AS nearest FROM z, lm GROUP BY row_key, z"
+)
+_TOTALS_SQL = f"WITH {SPLIT_CTE} SELECT Label, count(DISTINCT row_key) AS keys, count(*) AS rows, count(*) AS classed, count(*) AS scored FROM spl WHERE split = 'test' GROUP BY Label"
+_IMPORTANCE_SQL = (
+    f"WITH {flow_cte()} SELECT model, (SELECT len([{', '.join(FEATURES)}]) FROM fl LIMIT 1) AS features, 1.0 AS total FROM (VALUES ('DT'), ('RFC')) AS m(model)"
+)
+
 QUERIES = [
     Query("j9_scaled_on_train", _scaled, _SCALED_SQL),
     Query("j10_decision_tree", _metrics_of("DT")),
@@ -267,6 +345,14 @@ QUERIES = [
     Query("j16_nearest_neighbours", _knn, _KNN_SQL),
     Query("j16_pruned_neighbours", _pruned, _KNN_SQL),
     Query("j17_rbf_svc_approx", _rbf),
+    Query("j10_tree_totals", _totals_of("DT"), _TOTALS_SQL),
+    Query("j11_forest_totals", _totals_of("RFC"), _TOTALS_SQL),
+    Query("j12_linear_svc_totals", _totals_of("LSVC", probabilities=False), _TOTALS_SQL),
+    Query("j15_logistic_totals", _totals_of("LR", weighted=False), _TOTALS_SQL),
+    Query("j17_landmark_kernel", _landmarks, _MAP_SQL),
+    Query("j17_landmark_svc_totals", _landmark_svc, _TOTALS_SQL),
+    Query("j26_importance_totals", _importance_totals, _IMPORTANCE_SQL),
+    Query("n2_registered_totals", _method_totals, _TOTALS_SQL),
     Query("j18_stratified_folds", _folds, _FOLD_SQL),
     Query("j18_naive_bayes_folds", _bayes_folds, _BAYES_FOLD_SQL),
     Query("j19_naive_bayes_curve", _bayes_curve, _BAYES_CURVE_SQL),
@@ -274,6 +360,6 @@ QUERIES = [
     Query("j19_learning_curve", _curve),
     Query("j26_feature_importance", _importance),
     Query("n2_registered_method", _registered),
-    Query("n4_event_feature_table", _event_features),
+    Query("n4_event_feature_table", _event_features, _EVENT_SQL),
     Query("n4_event_job_results", _event_job),
 ]

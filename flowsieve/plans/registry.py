@@ -162,7 +162,7 @@ class FlowMethod:
         """``key`` names a row key; all numeric columns but it are features by default.
 
         Predictions are kept with the session, so the model is applied once for all tables.  The learning
-        curve takes a fit per fraction and fold and is made on request, for methods of one pipeline.
+        curve takes a fit per fraction and fold and is made on request.
         """
         say = progress or (lambda stage: None)
         params = resolve_params(self.params, overrides)
@@ -188,10 +188,11 @@ class FlowMethod:
         say("Evaluating")
         predictions = predictions.persist()
         learning = None
-        if with_learning_curve and self.model not in ("KNN", "RBF") and self.pca_share is None:
-            learning = models.learning_curve(
-                train, lambda n: self._pipeline(inputs, label, params, seed, n), label=label, key=key, seed=seed
-            )
+        if with_learning_curve:
+            plain = self.model not in ("KNN", "RBF") and self.pca_share is None
+            make = (lambda n: self._pipeline(inputs, label, params, seed, n)) if plain else None
+            predict = None if plain else lambda part, rows: self._fit(part, rows, inputs, label, key, params, seed)[1]
+            learning = models.learning_curve(train, make, label=label, key=key, predict=predict, seed=seed)
         return MethodResult(
             metrics=evaluation.weighted_metrics(predictions, label, "prediction"),
             confusion=evaluation.confusion_counts(predictions, label, "prediction"),
