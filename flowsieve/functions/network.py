@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ DNS_PORTS = (53,)
 HTTP_PORTS = (80, 8000, 8008, 8080, 8888)
 TLS_PORTS = (443, 8443)
 SSH_PORTS = (22,)
+# The one port of each application where a table knows no alternatives.
+SINGLE_PORTS = {"dns": (53,), "http": (80,), "https": (443,), "ssh": (22,)}
 
 # IPv4 blocks that are not globally reachable (IANA special-purpose registry).
 NON_GLOBAL_BLOCKS = (
@@ -51,6 +55,11 @@ def port_in(port: Column, ports: tuple[int, ...]) -> Column:
     return F.coalesce(lenient_int(port).isin(*ports), F.lit(False)).cast("int")
 
 
+def port_flags(port: Column, ports: Mapping[str, tuple[int, ...]] = SINGLE_PORTS) -> dict[str, Column]:
+    """``dport_is_<application>`` flags by the given ports."""
+    return {f"dport_is_{name}": port_in(port, some) for name, some in ports.items()}
+
+
 def ipv4_number(ip: Column) -> Column:
     """Address as an unsigned 32-bit number, null unless it is four decimal octets."""
     text = ip.cast("string")

@@ -98,6 +98,11 @@ def _nested(spark, sf_dir):
     )
 
 
+def _single_ports(spark, sf_dir):
+    """Flags over a table that names one port per application."""
+    return computed_rows(spark, sf_dir, "tls").withColumns(network.port_flags(F.col("dest_port"))).select("row_id", *_SINGLE_PORT_SQL)
+
+
 def _pick(names, digits=6, app="tls"):
     def run(spark, sf_dir):
         rows = computed_rows(spark, sf_dir, app)
@@ -224,6 +229,7 @@ _FLAG_SQL = {
     "dport_is_https": "CASE WHEN dest_port IN (443, 8443) THEN 1 ELSE 0 END",
     "dport_is_ssh": "CASE WHEN dest_port = 22 THEN 1 ELSE 0 END",
 }
+_SINGLE_PORT_SQL = {f"dport_is_{n}": f"CASE WHEN dest_port = {p} THEN 1 ELSE 0 END" for n, p in (("dns", 53), ("http", 80), ("https", 443), ("ssh", 22))}
 _TIME_SQL = {
     "ts_hour": "coalesce(hour(ts), 0)",
     "ts_dow": "coalesce(isodow(ts) - 1, 0)",
@@ -300,6 +306,7 @@ QUERIES = [
         _select({"src_port_class": _CLASS.format(p="src_port"), "dest_port_class": _CLASS.format(p="dest_port")}, None),
     ),
     Query("f11_port_flags", _pick(_FLAG_SQL, None), _select(_FLAG_SQL, None)),
+    Query("f11_single_port_flags", _single_ports, _select(_SINGLE_PORT_SQL, None)),
     Query("f12_calendar", _pick(_TIME_SQL, None), _select(_TIME_SQL, None)),
     Query(
         "f13_private_ipv4",

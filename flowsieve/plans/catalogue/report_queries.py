@@ -12,7 +12,7 @@ from flowsieve.plans.catalogue import Query
 from flowsieve.plans.catalogue.feature_queries import APP_SQL, BASE, _CLASS, _RATE_SQL, _RATIO_SQL
 from flowsieve.plans.catalogue.sampling_queries import unit_sql
 from flowsieve.plans.catalogue.window_queries import DAY, POSITIVE, day_records, window_ctes
-from flowsieve.plans.stand_in import event_records, run_cte, run_table
+from flowsieve.plans.stand_in import EVENT_COLUMNS, event_cte, event_records, flat_events, run_cte, run_table
 from flowsieve.session import cut_lineage
 
 APP = "tls"
@@ -80,7 +80,7 @@ def _by_target(spark, sf_dir):
 
 
 def _flattened(spark, sf_dir):
-    return reports.flattened_counts(report_rows(spark, sf_dir), APP, names=("split", "proto", "dest_port"))
+    return reports.flattened_counts(report_rows(spark, sf_dir), APP)
 
 
 def _summary(spark, sf_dir):
@@ -113,6 +113,12 @@ def _lowest(spark, sf_dir):
     )
 
 
+def _lowest_events(spark, sf_dir):
+    """The 20 event columns that are filled least, of all of them."""
+    rows = flat_events(spark, sf_dir).select(*_EVENT_NAMES)
+    return reports.lowest_availability(screening.availability(rows)).withColumn("availability_ratio", F.round("availability_ratio", 9))
+
+
 def _best_per_app(spark, sf_dir):
     best = evaluation.best_per_group(run_table(spark, sf_dir), "pipeline_id", ["f1", "auc"], keys=("id",))
     return best.select("pipeline_id", "f1", "auc")
@@ -190,6 +196,8 @@ _BOX = " UNION ALL ".join(
     f"SELECT Target_refined AS target, '{f}' AS feature, CAST({f} AS DOUBLE) AS x FROM rep" for f in reports.BOX_FEATURES
 )
 
+_EVENT_NAMES = [name for name, _ in EVENT_COLUMNS]
+
 QUERIES = [
     Query(
         "i1_label_distribution",
@@ -217,7 +225,7 @@ QUERIES = [
         f"('probe_score_no_alert', 'probe_score_with_alert') THEN {_QUARTER} ELSE {_DECADE} END AS bucket, count(*) AS count "
         "FROM l GROUP BY ALL",
     ),
-    Query("i6_flattened_counts", _flattened, _counts_sql(("split", "proto", "dest_port"), f"'{APP}' AS app, ")),
+    Query("i6_flattened_counts", _flattened, _counts_sql(reports.COUNT_GROUPS, f"'{APP}' AS app, ")),
     Query(
         "i7_label_comparison",
         _comparison,
@@ -245,6 +253,15 @@ QUERIES = [
         "SELECT \"column\", n AS rows, present, n - present AS missing, round(present / n, 9) AS availability_ratio FROM l "
         "ORDER BY availability_ratio, \"column\" LIMIT 4",
     ),
+    Query(
+        "i9_lowest_event_columns",
+        _lowest_events,
+        f"WITH {event_cte()}, l AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER (CAST({c} AS VARCHAR) <> '') AS present FROM ev" for c in _EVENT_NAMES
+        )
+        + ') SELECT "column", rows, present, rows - present AS missing, round(present / rows, 9) AS availability_ratio FROM l ORDER BY present / rows, "column" LIMIT 20',
+    ),
     Query(
         "i10_best_per_group",
         _best_per_app,

@@ -142,7 +142,7 @@ def _timestamps(spark, sf_dir):
 
 
 def _predicate(spark, sf_dir):
-    rows = history.apply_expression(run_table(spark, sf_dir), "f1_score > 0.5 AND acc >= 0.4, roc < 0.8")
+    rows = history.apply_conditions(run_table(spark, sf_dir), [("f1_score", ">", 0.5), ("acc", ">=", 0.4), ("roc", "<", 0.8)])
     return rows.select("id", "f1", "accuracy", "auc")
 
 

@@ -20,7 +20,8 @@ from flowsieve.plans.catalogue.routing_queries import reason_sql
 from flowsieve.plans.catalogue.sampling_queries import SPLIT_CTE, rank_sql, unit_sql
 from flowsieve.plans.catalogue.window_queries import DAY
 from flowsieve.plans.stand_in import FLOW_FEATURES, event_cte, event_records, flow_cte, flow_table, read_table
-from flowsieve.session import cut_lineage
+from flowsieve.session import cut_lineage, scratch_path
+from flowsieve.sources import tables
 
 LABEL, KEY = "Label", "row_key"
 FEATURES = list(FLOW_FEATURES)
@@ -163,6 +164,24 @@ def _method_totals(spark, sf_dir):
     return _scored_totals(result.predictions, probabilities=True)
 
 
+def _saved_run(spark, sf_dir):
+    """A run's metrics read back from its tables, and those of its model loaded again."""
+    from pyspark.ml import PipelineModel
+
+    train, test = _split(spark, sf_dir)
+    model, predictions = M.fit_predict(M.build_pipeline("NB", FEATURES, label=LABEL, weighted=False), train, test, label=LABEL, weighted=False)
+    metrics = E.attack_metrics(predictions, LABEL, "prediction")
+    runs = spark.createDataFrame([("flow.naive_bayes", "FINISHED")], "pipeline_id string, status string")
+    confusion = E.confusion_counts(predictions, LABEL, "prediction")
+    written = tables.save_run("run-7", scratch_path(spark, "saved-run"), model=model, runs=runs, metrics=metrics, confusion=confusion)
+    kept = spark.read.parquet(written["metrics"]).join(spark.read.parquet(written["runs"]), "run_id")
+    again = M.with_score(PipelineModel.load(written["model"]).transform(test))
+    counted = spark.read.parquet(written["confusion"]).agg(F.sum("n").alias("counted"))
+    # One row each.
+    kept = kept.where("status = 'FINISHED'").select(F.lit("stored").alias("origin"), *metrics.columns)
+    return kept.unionByName(E.attack_metrics(again, LABEL, "prediction").withColumn("origin", F.lit("reloaded"))).crossJoin(F.broadcast(counted))
+
+
 def _importance_totals(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
     tables = []
@@ -345,6 +364,11 @@ QUERIES = [
     Query("j16_nearest_neighbours", _knn, _KNN_SQL),
     Query("j16_pruned_neighbours", _pruned, _KNN_SQL),
     Query("j17_rbf_svc_approx", _rbf),
+    Query(
+        "a10_saved_run",
+        _saved_run,
+        f"SELECT origin, n.*, tp + fn + fp + tn AS counted FROM ({_NB_SQL}) AS n, (VALUES ('stored'), ('reloaded')) AS o(origin)",
+    ),
     Query("j10_tree_totals", _totals_of("DT"), _TOTALS_SQL),
     Query("j11_forest_totals", _totals_of("RFC"), _TOTALS_SQL),
     Query("j12_linear_svc_totals", _totals_of("LSVC", probabilities=False), _TOTALS_SQL),

@@ -258,11 +258,15 @@ def test_live_levels_by_app_agree_with_literal_cuts(spark):
     assert {r["probe_level"] for r in lost.collect()} == {"low"}
 
 
-def test_metric_expression():
-    from flowsieve.operators.history import parse_expression
-
-    assert parse_expression("F1 > 0.8 AND roc_auc>=.9".replace(".9", "0.9")) == [("f1", ">", 0.8), ("auc", ">=", 0.9)]
-    assert parse_expression("  ") == []
-    for bad in ("f1 >", "colour > 1", "f1 > 0.5 or auc > 1", "__import__('x')", ","):
+def test_metric_conditions(spark):
+    from flowsieve.operators.history import apply_conditions
+
+    rows = [(1, 0.9, 0.95), (2, 0.9, 0.5), (3, None, 0.99), (4, float("nan"), 0.99)]
+    runs = spark.createDataFrame(rows, "id int, f1 double, auc double")
+    ids = lambda conditions: sorted(r.id for r in apply_conditions(runs, conditions).collect())
+    assert ids([("F1_Score", ">", 0.8), ("roc_auc", ">=", 0.9)]) == [1]
+    assert ids([("f1", "!=", 0.5)]) == [1, 2] and ids([]) == [1, 2, 3, 4]
+    assert ids(runs["auc"] > 0.97) == [3, 4]
+    for bad in (("colour", ">", 1), ("f1", "or", 1), ("f1", ">", "x")):
         with pytest.raises(ValueError):
-            parse_expression(bad)
+            apply_conditions(runs, [bad])
