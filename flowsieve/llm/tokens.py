@@ -22,6 +22,7 @@ import re
 from array import array
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import SparkSession
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core already
@@ -29,6 +30,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task pe
 # Units remembered per Python worker, half of them in a second generation, and the characters handled between two look-ups.
 REMEMBERED_UNITS = 700_000
 BATCH_CHARS = 1_000_000
+# Units encoded in one call, told apart afterwards by the ids that begin or divide them.
+JOINED_UNITS = 5_000
 
 _ADJACENT_SPACE = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
@@ -67,6 +70,11 @@ class Encoder:
         self._special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
         self._split = _SPLITS[boundary]
         self._marks = boundary is not None
+        self._boundary = boundary
+        self._zero = self._tokenizer.encode("0", add_special_tokens=False).ids
+        # Ids whose text begins with a space.
+        self._opens = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        self._opens[[i for token, i in self._tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         # Units met lately, and those met before them.
         self._known: dict[str, bytes] = {"": b""}
         self._before: dict[str, bytes] = {}
@@ -88,6 +96,34 @@ class Encoder:
                 batch, chars = [], 0
         return out + self._batch(batch)
 
+    def _joins(self, unit: str) -> bool:
+        """Whether a unit can be told apart in a joined text: printable, so without white space but its first."""
+        if self._boundary == "spaced_words":
+            return "0" not in unit and unit.isprintable()
+        return self._boundary == "byte_level" and unit[0] == " " and len(unit) > 1 and " " not in unit[1:] and unit.isprintable()
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of units not known yet: many in one call, as units do not influence each other."""
+        apart = [] if len(self._zero) == 1 else new
+        joined = [unit for unit in new if self._joins(unit)] if not apart else []
+        apart = apart or list(set(new).difference(joined))
+        for unit, found in zip(apart, self._tokenizer.encode_batch_fast(apart, add_special_tokens=False)):
+            self._known[unit] = array("I", found.ids).tobytes()
+        by_zero = self._boundary == "spaced_words"
+        for at in range(0, len(joined), JOINED_UNITS):
+            units = joined[at : at + JOINED_UNITS]
+            text = " 0 ".join(units) if by_zero else "".join(units)
+            ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            if by_zero:
+                cuts = np.flatnonzero(ids == self._zero[0])
+                starts, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
+            else:
+                starts = np.flatnonzero(self._opens[ids])
+                ends = np.append(starts[1:], len(ids))
+            raw = ids.tobytes()
+            for unit, a, b in zip(units, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
+                self._known[unit] = raw[a:b]
+
     def _batch(self, texts: list[str]) -> list[bytes]:
         units = [self._split(text) for text in texts]
         met = set().union(*units)
@@ -102,9 +138,7 @@ class Encoder:
             new |= {unit[:-1] for unit in marked}.union(",.").difference(self._known)
         else:
             marked = []
-        new = list(new)
-        for unit, found in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self._known[unit] = array("I", found.ids).tobytes()
+        self._learn(list(new))
         for unit in marked:
             self._known[unit] = self._known[unit[:-1]] + self._known[unit[-1]]
         known = self._known.__getitem__
