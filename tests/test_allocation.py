@@ -205,3 +205,23 @@ def test_broadcast_only_below_the_limit(spark):
     df = spark.range(50)
     assert broadcast_if_small(df, 49) is df
     assert broadcast_if_small(df, 50) is not df
+
+
+def test_quantiles_of_many_groups(spark, monkeypatch):
+    import numpy as np
+
+    from flowsieve.operators import quantiles
+
+    rng = np.random.default_rng(4)
+    rows = [(int(g) if g else None, float(v)) for g, v in zip(rng.integers(0, 40, 4000) ** 2 // 30, rng.normal(0, 9, 4000).round(1))]
+    df = spark.createDataFrame([*rows, (1, None), (7, float("nan"))], "g int, v double")
+    monkeypatch.setattr(quantiles, "MAX_GROUPS", 6)
+    monkeypatch.setattr(quantiles, "_FINISH_ROWS", 80)
+    found = {r.g: r for r in quantiles.exact_quantiles(df, "v", [0.1, 0.5, 0.99], ["g"]).collect()}
+    values = {}
+    for g, v in rows:
+        values.setdefault(g, []).append(v)
+    assert found.keys() == values.keys() and len(values) > 12
+    for g, v in values.items():
+        assert found[g].n == len(v)
+        assert [found[g][f"q{i}"] for i in range(3)] == pytest.approx(np.quantile(v, [0.1, 0.5, 0.99]).tolist(), abs=1e-9)
