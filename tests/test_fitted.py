@@ -96,3 +96,65 @@ def test_boosting_without_rows_or_values(spark):
     holes = frame(spark, [("p", None, 1.0, 1.0, 1.0), ("q", 1, None, None, float("nan")), *rows_of(60, 6)])
     model = boosting.fit_boosted_trees(holes, ["a", "b", "c"], label="y", key="key", rounds=2, depth=2)
     assert model.transform(holes).where("margin IS NULL").count() == 0
+
+
+def test_landmark_map_is_exact_at_landmarks_and_close_elsewhere(spark):
+    from flowsieve.operators import kernel_map
+
+    df = frame(spark, rows_of(250, 7)).withColumn("flat", F.lit(3.0))
+    names = ["a", "b", "flat"]
+    exact = kernel_map.fit_landmarks(df, names, key="key", size=250)
+    close = kernel_map.fit_landmarks(df, names, key="key", size=60)
+    x = np.array([[r.a, r.b, r.flat] for r in df.collect()])
+    z = (x - x.mean(0)) / np.where(x.std(0, ddof=1) > 0, x.std(0, ddof=1), 1)
+    kernel = np.exp(-((z[:, None] - z[None]) ** 2).sum(2) / 3)
+    errors = []
+    for found in (close, kernel_map.fit_landmarks(df, names, key="key", size=150), exact):
+        mapped = found.kernel(x) @ found.root
+        # What a row's mapped length lacks of 1 bounds its errors.
+        lacking = 1 - (mapped**2).sum(1)
+        errors.append(np.abs(mapped @ mapped.T - kernel))
+        assert (errors[-1] <= np.sqrt(np.outer(lacking.clip(0), lacking.clip(0))) + 1e-4).all()
+    assert errors[0].max() < 0.2 and errors[0].mean() < 0.002
+    assert errors[0].max() > errors[1].max() > errors[2].max() and errors[2].max() < 1e-4
+    assert len(close.landmarks) == 60
+    collected = {r.key: r.m for r in df.select("key", close.mapped().alias("m")).collect()}
+    assert np.array(collected["k3"]) == pytest.approx(close.kernel(x[3:4])[0] @ close.root)
+
+
+def test_landmark_svc_separates_a_ring(spark):
+    from flowsieve.operators import kernel_map
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        angle, y = rng.uniform(0, 6.283), i % 2
+        far = rng.uniform(2.0, 3.0) if y else rng.uniform(0.0, 1.0)
+        rows.append((f"k{i}", y, far * np.cos(angle), far * np.sin(angle), 0.0))
+    df = frame(spark, [(k, y, float(a), float(b), c) for k, y, a, b, c in rows])
+    model = kernel_map.fit_landmark_svc(df, ["a", "b"], label="y", key="key", size=40, max_iter=30)
+    scored = model.transform(df).select("y", "prediction", "score").collect()
+    assert sum(r.prediction == r.y for r in scored) > 290
+    assert all(0 <= r.score <= 1 for r in scored)
+    assert np.mean([r.score for r in scored if r.y]) > 0.85 > 0.15 > np.mean([r.score for r in scored if not r.y])
+
+
+def test_learning_curve_of_any_method(spark, monkeypatch):
+    from flowsieve.operators import models
+    from flowsieve.plans import registry
+
+    df = frame(spark, rows_of(80, 9))
+    seen = []
+
+    def predict(part, rows):
+        seen.append(part.count())
+        return rows.withColumn("prediction", (F.col("a") > 1).cast("int"))
+
+    curve = models.learning_curve(df, None, label="y", key="key", predict=predict, fractions=(0.5, 1.0), folds=2).collect()
+    assert [r.fraction for r in sorted(curve)] == [0.5, 1.0] and all(r.valid_mean > 0.7 for r in curve) and len(seen) == 8
+    given = {}
+    monkeypatch.setattr(models, "learning_curve", lambda train, make, **options: given.update(make=make, **options))
+    method = registry.get("flow.knn")
+    method.run(df, label="y", key="key", features=["a", "b"], with_learning_curve=True)
+    assert given["make"] is None
+    assert {"score", "prediction"} <= set(given["predict"](df, df).columns)
