@@ -93,3 +93,22 @@ def test_anchors_cover_every_window():
         assert 0 <= lo <= hi <= 40
     assert sorted(windows) == [(0, p) for p in range(1941)] + [(1, p) for p in range(31)]
     assert len(np.unique(found["gram"])) <= len(found["gram"])
+
+
+@pytest.mark.parametrize("class_rows", [1024, 4])
+def test_large_ids_beside_missing_ones(spark, monkeypatch, class_rows):
+    # Every other row has no id; the others are beyond what a double holds.  Their passages end differently, so classes stay open.
+    monkeypatch.setattr(repeats, "CLASS_ROWS", class_rows)
+    monkeypatch.setattr(repeats, "CELL", 8)
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh ", k=120))
+    texts = ["".join(rng.choices("xyz", k=30)) + passage[: rng.randint(60, 120)] + "".join(rng.choices("xyz", k=40)) for _ in range(40)]
+    docs = [(None if i % 2 else 2**62 + 1 + 2 * i, t) for i, t in enumerate(texts)]
+    found = repeats.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string"), length=60, gram=20).collect()
+    want = [
+        (d, bytes(b for b, c in zip(t.encode(), covered) if not c))
+        for (d, t), covered in zip(docs, brute([t.encode() for t in texts], 60))
+    ]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r.doc_id, bytes(r.kept)) for r in found), key=order) == sorted(want, key=order)
+    assert any(len(kept) < len(t) for (_, kept), t in zip(want, texts))
