@@ -1,11 +1,12 @@
-"""Near copies by the similarity of their five-word shingles, for the pipeline.
+"""Near copies by SimHash and by the similarity of their five-word shingles, for the pipeline.
 
-Two texts are near copies if their sets of shingles have a Jaccard similarity of 0.8 or more.
-SimHash does not fit that limit: at 0.8 fingerprints differ in some ten bits of 64, and keys for so
-many bits find everything.  Candidates therefore come from minimum hashes, 32 bands of four: two
+Two texts are near copies if their fingerprints differ in at most three bits, found by the pigeonring chains of
+``simhash``, or if their sets of shingles have a Jaccard similarity of 0.8 or more.
+The fingerprints alone do not reach that limit: at 0.8 they differ in some ten bits of 64, and keys for so
+many bits find everything.  Candidates for it come from minimum hashes, 32 bands of four: two
 texts share a key with a probability of 1 - (1 - s**4)**32, so a pair at exactly 0.8 is missed
 once in 21 million times, a closer one less often.  Every candidate is confirmed on the whole sets, so
-no text is dropped for a resemblance below the limit.
+no text is dropped for a shared key alone.  Groups are what the links of both kinds connect.
 
 Texts with equal sets are one row from the start.  Keys with few sets give all pairs.  The sets of
 other keys are dealt as pairs of blocks of bounded size; each is compared in one task, which returns a
@@ -27,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowsieve.llm import simhash
 from flowsieve.llm.common import components, stored, stored_table
 
 SHINGLE = 5
@@ -172,6 +174,12 @@ def set_links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(_confirmed(pairs, sets).union(dense).distinct())
 
 
+def print_links(rows: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` from each set of ``rows(set, fp)`` to the smallest one its fingerprints reach within three bits."""
+    grouped = simhash.with_components(rows.select(F.col("set").alias("doc_id"), "fp").distinct())
+    return grouped.where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one with the smallest id.
 
@@ -179,12 +187,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     every = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*every).alias("d"), F.xxhash64(*every).alias("row"))
-    marked = docs.select("doc_id", F.xxhash64(*every).alias("row"), sketched(F.col("text")).alias("s"))
-    marked = stored_table(marked.select("doc_id", "row", "s.*"), "sketches")
+    text = F.col("text")
+    marked = docs.select("doc_id", F.xxhash64(*every).alias("row"), sketched(text).alias("s"), simhash.fingerprint(text).alias("fp"))
+    marked = stored_table(marked.select("doc_id", "row", "s.*", "fp"), "sketches")
     first = marked.groupBy("set").agg(F.min(F.struct("row", "n", "keys")).alias("one"))
     first = stored_table(first.select("set", "one.*"), "distinct-sketches")
     links = set_links(first, rows.select("row", F.col("d.text").alias("text")))
-    roots = stored(components(links))
+    roots = stored(components(links.union(print_links(marked))))
     groups = marked.select("doc_id", "row", "set").join(roots, F.col("set") == F.col("node"), "left")
     groups = groups.withColumn("root", F.coalesce("root", "set"))
     # The smallest root stands for the group, so rows without an id are grouped as well.

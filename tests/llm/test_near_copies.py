@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from flowsieve.llm import near_copies
+from flowsieve.llm import near_copies, simhash
 from tests.llm.rows import documents, empty, prose, words
 
 
@@ -70,6 +70,16 @@ def test_recall_on_the_tables(spark, sf):
     assert kept_ids(spark, texts) == sorted(set(groups))
 
 
+def test_equal_fingerprints_of_unlike_sets(spark):
+    # Repeated words decide the fingerprint; the sets share a few shingles only.  One more text links to either by its set.
+    body = "ka lo min " * 200
+    texts = [body + prose(31, 30), prose(33, 90), body + prose(32, 30), edited(body + prose(32, 30), 0, random.Random(1)) + " end"]
+    prints = [simhash.simhash(t) for t in texts]
+    assert (prints[0] ^ prints[2]).bit_count() <= 3 and not near(shingles(texts[0]), shingles(texts[2]))
+    assert kept_ids(spark, texts) == [0, 1]
+    assert kept_ids(spark, texts[1:]) == [0, 1]
+
+
 def test_awkward_rows(spark):
     docs = documents(spark, ["One  two", "x y z", "X y\tz "])
     kept = near_copies.keep_one(docs)
