@@ -9,10 +9,13 @@ under all models at once and counts confusions.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.hashing import seeded_hash60
@@ -85,30 +88,52 @@ def models_of(moments: dict[tuple[int, int, int], Moments], folds: int, fraction
     return out
 
 
-def _predicted(x: Column, classes: list[tuple]) -> Column:
-    """The class with the highest posterior, the smallest of equals."""
-
-    def numbers(values: Sequence[float]) -> Column:
-        return F.array(*[F.lit(float(v)) for v in values])
-
-    scores = []
-    for label, constant, means, inverse in classes:
-        apart = F.zip_with(x, numbers(means), lambda a, m: (a - m) * (a - m))
-        spread = F.aggregate(F.zip_with(apart, numbers(inverse), lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
-        scores.append(F.struct((F.lit(constant) - spread).alias("score"), F.lit(-label).alias("minus")))
-    return -F.array_max(F.array(*scores))["minus"]
+def _predicted(x: np.ndarray, classes: list[tuple]) -> np.ndarray:
+    """The class with the highest posterior, the smallest of equals; rows of ``x`` without a value have no posterior."""
+    best, found = None, None
+    for label, constant, means, inverse in sorted(classes):
+        spread = np.zeros(len(x))
+        for i, (m, v) in enumerate(zip(means, inverse)):
+            spread += (x[:, i] - m) * (x[:, i] - m) * v
+        score = constant - spread
+        # What is no number is above all numbers, as in Spark's order.
+        score = np.where(np.isnan(score), np.inf, score)
+        if best is None:
+            best, found = score, np.full(len(x), label)
+        else:
+            better = score > best
+            best, found = np.where(better, score, best), np.where(better, label, found)
+    return found
 
 
 def confusions(rows: DataFrame, models: list[tuple]) -> DataFrame:
     """``step, fold, side, label, prediction, n`` for the train and validation rows of every model."""
-    entries = []
-    for step, fold, _, classes in models:
-        side = F.when(F.col("fold") == fold, "valid").when(F.col("part") <= step, "train")
-        # Rows outside the model's training set are not scored.
-        prediction = F.when(side.isNotNull(), _predicted(F.col("x"), classes))
-        entries.append(F.struct(F.lit(step).alias("step"), F.lit(fold).alias("fold"), side.alias("side"), prediction.alias("prediction")))
-    scored = rows.select("label", F.explode(F.array(*entries)).alias("e")).select("label", "e.*").where(F.col("side").isNotNull())
-    return scored.groupBy("step", "fold", "side", "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of one task, a few rows: all models score a batch at once."""
+        total: Counter = Counter()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            label, of_fold, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "fold", "part"))
+            for step, fold, _, classes in models:
+                prediction = _predicted(x, classes)
+                valid = of_fold == fold
+                # Rows outside the model's training set are not scored.
+                for side, inside in (("valid", valid), ("train", ~valid & (part <= step))):
+                    seen, n = np.unique(np.stack([label[inside], prediction[inside]]), axis=1, return_counts=True)
+                    for (y, p), c in zip(seen.T.tolist(), n.tolist()):
+                        total[(step, fold, side, y, p)] += c
+        if total:
+            columns = [*zip(*total), tuple(total.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    names = ["step", "fold", "side", "label", "prediction", "n"]
+    types = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+    whole = rows.select(F.col("label").cast("int").alias("label"), "x", "fold", "part")
+    partial = whole.mapInArrow(counted, "step int, fold int, side string, label int, prediction int, n bigint")
+    return partial.groupBy("step", "fold", "side", "label", "prediction").agg(F.sum("n").alias("n"))
 
 
 def weighted_f1(counts: DataFrame, group: list[str]) -> DataFrame:
