@@ -52,13 +52,23 @@ def _levels(spark, sf_dir):
     return out.groupBy("probe_level", "fanout_high").agg(F.count(F.lit(1)).alias("windows"))
 
 
+def write_halves(ordered, path):
+    """Writes the rows of half 0, then those of half 1, each by all tasks; returns how many files are one batch.
+
+    The second half has no more files than the first, and a stream takes older files first: its batches are the halves.
+    """
+    ordered.where(F.col("half") == 0).drop("half").write.parquet(path)
+    files = len(ordered.sparkSession.read.parquet(path).inputFiles())
+    ordered.where(F.col("half") == 1).drop("half").coalesce(files).write.mode("append").parquet(path)
+    return files
+
+
 def _thresholds(spark, sf_dir):
     """A histogram per application, kept up to date over two batches of files."""
     path = scratch_path(spark, "ordered-in")
     ordered = event_records(spark, sf_dir).withColumn("half", F.coalesce((F.dayofmonth("ts") > 15).cast("int"), F.lit(0)))
-    for half in (0, 1):
-        ordered.where(F.col("half") == half).drop("half").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    batch_files = write_halves(ordered, path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", batch_files).parquet(path)
     histogram = exact.ScoreHistogram(spark, scratch_path(spark, "histogram"))
     windows = exact.exact_live_windows(stream, DAY, f"{_LATE_DAYS} days")
     query = exact.keep_thresholds(windows, F.regexp_extract("src_ip", "^[0-9]+", 0), histogram, scratch_path(spark, "histogram-state"), DAY)
