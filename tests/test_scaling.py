@@ -1,7 +1,7 @@
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from flowsieve.operators import models
+from flowsieve.operators import kernel_map, models
 from flowsieve.plans.catalogue.stream_queries import write_halves
 
 
@@ -36,3 +36,23 @@ def test_an_empty_first_half_is_one_batch(spark, tmp_path):
     rows = spark.range(0, 20, 1, 4).withColumn("half", F.lit(1))
     assert write_halves(rows, str(tmp_path / "in")) == 1
     assert spark.read.parquet(str(tmp_path / "in")).count() == 20
+
+
+def test_no_mapped_row_is_written_for_kernel_machines(spark, monkeypatch):
+    written = []
+
+    def kept(df, name="stage"):
+        written.append(name)
+        assert set(df.columns) <= {"y", "fold", "x", "margin"}
+        widest = df.select(*[F.size(c) for c in df.columns if c in ("x", "margin")]).agg(F.max(F.col("size(x)") if "x" in df.columns else F.col("size(margin)"))).first()[0]
+        assert widest <= 2
+        return df
+
+    monkeypatch.setattr(kernel_map, "cut_lineage", kept)
+    monkeypatch.setattr(models, "cut_lineage", kept, raising=False)
+    rows = spark.range(80).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    model = kernel_map.fit_landmark_svc(rows, ["a", "b"], label="y", key="id", size=8, max_iter=2, folds=2)
+    assert model.transform(rows).where(F.col("score").between(0, 1)).count() == 80
+    model = models.fit_rbf_svc_approx(rows, ["a", "b"], label="y", size=8, max_iter=2)
+    assert model.transform(rows).where(F.col("score").between(0, 1)).count() == 80
+    assert written == ["folded", "margins", "margins"]
