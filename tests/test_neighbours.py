@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowsieve.operators import models, neighbours
 
@@ -48,6 +49,25 @@ def test_few_pairs_on_groups(spark):
     assert sum(r.compared for r in found) < 0.08 * 3000 * 500
 
 
+def test_rows_are_sent_to_cells_and_not_to_every_ring(spark, monkeypatch):
+    sent, kept = [], neighbours.cut_lineage
+
+    def counted(df, name="stage"):
+        out = kept(df, name)
+        if name == "reached":
+            sent.append(out.agg(F.sum(F.size("cells")) if "cells" in out.columns else F.count(F.lit(1))).first()[0])
+        return out
+
+    monkeypatch.setattr(neighbours, "cut_lineage", counted)
+    x = np.random.default_rng(2).normal(0, 1, (700, 8))
+    train, test = frame(spark, x[:600], np.arange(600) % 2), frame(spark, x[600:], np.zeros(100), 900)
+    found = neighbours.pruned_neighbours(train, test, features="x", label="y", key="id", block=4).collect()
+    # Some 150 rings, all in reach; a cell holds a sixteenth of the rows.
+    assert sum(sent) <= 100 * 2 * 16
+    wanted = brute(train.collect(), test.collect(), 5)
+    assert {r.id: [n.key for n in r.near] for r in found} == {i: [n for _, n, _ in v] for i, v in wanted.items()}
+
+
 def test_agrees_with_the_block_grid(spark):
     x, y = groups(9, 5, 200, spread=3.0)
     train, test = frame(spark, x[:150], y[:150]), frame(spark, x[150:], y[150:], 900)
