@@ -51,9 +51,10 @@ def value_counts(df: DataFrame, features: Sequence[str], label: str, k: int = NE
     """
     values = F.array(*[F.struct(F.lit(f).alias("feature"), (lenient_double(f) + F.lit(0.0)).alias("v")) for f in features])
     known = df.where(F.col(label).isNotNull())
-    classes = known.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("class_rows")).where("class_rows > 1")
     long = known.select(F.col(label).alias("label"), F.explode(values).alias("x")).select("label", "x.*")
-    counts = long.groupBy("feature", "label", "v").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(long.groupBy("feature", "label", "v").agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    # Every row has one value of the first feature, so the table itself is read once.
+    classes = counts.where(F.col("feature") == features[0]).groupBy("label").agg(F.sum("n").alias("class_rows")).where("class_rows > 1")
     found = counts.join(broadcast_if_small(classes), "label")
     return found.withColumn("need", F.least(F.lit(k), F.col("class_rows") - 1) - (F.col("n") - 1))
 
@@ -69,11 +70,10 @@ def cell_edges(points: DataFrame, rows: int, cell_rows: int = CELL_ROWS) -> Data
 
 
 def cell_of(x: Column, edges: Column) -> Column:
-    """How many edges lie below ``x``: every so many edges first, then those between two of them."""
-    step = max(1, math.isqrt(MAX_CELLS))
-    heads = F.filter(F.sequence(F.lit(step), F.greatest(F.size(edges), F.lit(step)), F.lit(step)), lambda i: F.get(edges, i - 1) < x)
-    skipped = F.size(heads) * step
-    return skipped + F.size(F.filter(F.slice(edges, skipped + 1, F.lit(step)), lambda e: e < x))
+    """How many edges lie below ``x``, by halving: steps of falling powers of two, each taken if the edge it leads to lies below."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(MAX_CELLS.bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get(edges, n + step - 1) < x, step).otherwise(0))
+    return F.when(F.size(edges) == 0, 0).otherwise(found)
 
 
 def _with_halo(placed: DataFrame, k: int) -> DataFrame:
@@ -135,9 +135,12 @@ def rows_inside(radii: DataFrame, points: DataFrame, edges: DataFrame) -> DataFr
     asked = radii.select("feature", F.explode(ends).alias("e"), F.struct("label", "v", "n", "class_rows", "inside").alias("row"))
     asked = asked.select("feature", "e.x", "e.turn", "e.sign", F.lit(0).cast("bigint").alias("n"), "row")
     given = points.select("feature", F.col("v").alias("x"), F.lit(at).alias("turn"), F.lit(0).alias("sign"), "n", F.lit(None).cast(asked.schema["row"].dataType).alias("row"))
-    spread = given.unionByName(asked).join(edges, "feature").withColumn("cell", cell_of(F.col("x"), F.col("edges"))).drop("edges")
-    totals = spread.where(F.col("turn") == at).groupBy("feature", "cell").agg(F.sum("n").alias("n"))
-    totals = spread.select("feature", "cell").distinct().join(totals, ["feature", "cell"], "left")
+    placed = lambda rows: rows.join(edges, "feature").withColumn("cell", cell_of(F.col("x"), F.col("edges"))).drop("edges")
+    spread = placed(given.unionByName(asked))
+    totals = placed(given).groupBy("feature", "cell").agg(F.sum("n").alias("n"))
+    # The cells follow from the edges, so that the radii are found once.
+    cells = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("cell"))
+    totals = cells.join(totals, ["feature", "cell"], "left")
     earlier = Window.partitionBy("feature").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("feature", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     running = Window.partitionBy("feature", "cell").orderBy("x", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -147,7 +150,7 @@ def rows_inside(radii: DataFrame, points: DataFrame, edges: DataFrame) -> DataFr
 
 def neighbour_information(df: DataFrame, features: Sequence[str], label: str, k: int = NEIGHBOURS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``feature, score``: mutual information in nats of each feature with the class, highest first."""
-    counts = cut_lineage(value_counts(df, features, label, k), "value-counts")
+    counts = value_counts(df, features, label, k)
     points = counts.groupBy("feature", "v").agg(F.sum("n").alias("n"))
     most = points.groupBy("feature").agg(F.count(F.lit(1)).alias("values")).agg(F.max("values")).first()[0] or 0
     # A row per feature.

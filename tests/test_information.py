@@ -82,3 +82,31 @@ def test_digamma(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "y int, x double")
     assert information.neighbour_information(df, ["x"], "y").count() == 0
+
+
+def test_the_table_is_read_once_and_the_radii_are_found_once(spark, monkeypatch):
+    read, found = spark.sparkContext.accumulator(0), []
+
+    @F.udf("double")
+    def seen(x):
+        read.add(1)
+        return x
+
+    def one(placed, k):
+        found.append(information.cut_lineage(radii(placed, k)))
+        return found[0].withColumn("low", counted("low"))
+
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        looked.add(1)
+        return x
+
+    radii = information.neighbour_radii
+    monkeypatch.setattr(information, "neighbour_radii", one)
+    rows = spark.range(200).select((F.col("id") % 2).cast("int").alias("y"), F.sqrt("id").alias("x"))
+    table = rows.withColumn("x", seen.asNondeterministic()("x"))
+    information.neighbour_information(table.withColumn("y", F.when(F.col("x") >= 0, F.col("y"))), ["x"], "y", 3, 20).collect()
+    assert read.value == 200
+    assert looked.value == found[0].count()
