@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.llm.common import stored
-from flowsieve.llm.tokens import Vocabulary
+from flowsieve.llm.tokens import TEXTS_AT_ONCE, Vocabulary
 from flowsieve.operators.joins import broadcast_if_small
 
 LENGTH = 1024
@@ -42,8 +42,8 @@ def pieces(docs: DataFrame, vocabulary: Vocabulary, *, end_id: int, length: int
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocabulary.encoder()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(at, TEXTS_AT_ONCE)
                 out: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "tie", "ids")}
                 rows = zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), some.column(2).to_pylist())
                 for doc_id, ids, tie in rows:

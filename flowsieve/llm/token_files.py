@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.llm.common import stored
-from flowsieve.llm.tokens import Vocabulary
+from flowsieve.llm.tokens import TEXTS_AT_ONCE, Vocabulary
 
 FRAME_BYTES = 256 * 1024
 LEVEL = 3
@@ -153,9 +153,9 @@ def write_token_files(
             writer = FileWriter(sink, level, frame_bytes)
             for batch in _chain(first, batches):
                 ids, texts = batch.column(0), batch.column(1)
-                for at in range(0, batch.num_rows, 256):
-                    tokens = encoder.encode(texts.slice(at, 256).to_pylist())
-                    for doc_id, found in zip(ids.slice(at, 256).to_pylist(), tokens):
+                for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                    tokens = encoder.encode(texts.slice(at, TEXTS_AT_ONCE).to_pylist())
+                    for doc_id, found in zip(ids.slice(at, TEXTS_AT_ONCE).to_pylist(), tokens):
                         writer.add(doc_id, found + end)
             n_docs, n_tokens = writer.close()
         files.move(waiting, f"{root}/{name}")

@@ -129,3 +129,29 @@ def test_shortest_pack_first():
     # 5 opens the packs, 3 joins the emptiest, 2 fills what is left.
     assert packing.shortest_pack_first({5: 2, 3: 3, 2: 1}, 8) == [(2, 0, 2, 3), (3, 0, 0, 5), (3, 2, 2, 0), (5, 0, 0, 0)]
     assert packing.shortest_pack_first({}, 8) == []
+
+
+@pytest.mark.parametrize("name,boundary", VOCABULARIES)
+def test_words_of_letters_skip_the_steps_before_the_model(name, boundary):
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        text = file.read()
+    encoder = tokens.Encoder(text, boundary)
+
+    class Counting:
+        seen = 0
+
+        def encode_batch_fast(self, texts, **options):
+            Counting.seen += sum(map(len, texts))
+            return plain.encode_batch_fast(texts, **options)
+
+    plain, encoder._tokenizer = encoder._tokenizer, Counting()
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdeXYZ"), rng.integers(1, 12))) for _ in range(3000)]
+    texts = [" ".join(words[at : at + 30]) for at in range(0, 3000, 30)] + [f"{words[7]}.\n{words[8]}, {words[9]}"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    assert Counting.seen < 10
+    # A second look at the same texts learns nothing.
+    remembered = len(encoder._units)
+    encoder.encode(texts)
+    assert len(encoder._units) == remembered
