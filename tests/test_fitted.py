@@ -158,3 +158,41 @@ def test_learning_curve_of_any_method(spark, monkeypatch):
     method.run(df, label="y", key="key", features=["a", "b"], with_learning_curve=True)
     assert given["make"] is None
     assert {"score", "prediction"} <= set(given["predict"](df, df).columns)
+
+
+def test_one_task_and_many_fit_the_same_boosted_trees(spark, monkeypatch):
+    df = frame(spark, rows_of(500, 9)).repartition(3)
+    options = {"label": "y", "key": "key", "rounds": 7, "depth": 3}
+    alone = boosting.fit_boosted_trees(df, ["a", "b", "c"], **options)
+    monkeypatch.setattr(boosting, "ROWS_OF_A_TASK", 0)
+    spread = boosting.fit_boosted_trees(df, ["a", "b", "c"], **options)
+    assert len(alone.trees) == 7
+    for one, other in zip(alone.trees, spread.trees):
+        assert one.keys() == other.keys()
+        for node, entry in one.items():
+            assert entry[:-1] == other[node][:-1] and entry[-1] == pytest.approx(other[node][-1], abs=1e-9)
+
+
+def test_many_rounds_are_few_jobs(spark):
+    df = frame(spark, rows_of(300, 8)).persist()
+    spark.sparkContext.setJobGroup("boosting", "boosting")
+    boosting.fit_boosted_trees(df, ["a", "b", "c"], label="y", key="key", rounds=20)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosting"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    df.unpersist()
+    # A job per level would be over a hundred.
+    assert jobs < 40
+
+
+def test_hashes_of_arrays_equal_those_of_columns(spark):
+    import pyarrow as pa
+
+    from flowsieve.functions.digests import seeded_hashes
+    from flowsieve.functions.hashing import seeded_hash60
+
+    texts = ["", "a", None, "é" * 10, *["x" * n for n in (50, 51, 52, 53, 70)], *[f"{i}-k" for i in range(30)]]
+    seeds = [3, 42, 99, 100, 191]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    wanted = rows.orderBy("i").select(*[seeded_hash60(s, F.col("t")) for s in seeds]).collect()
+    assert seeded_hashes(pa.array(texts), seeds).T.tolist() == [list(r) for r in wanted]
+    assert seeded_hashes(pa.array(texts)[2:9], [7]).tolist() == [seeded_hashes(pa.array(texts), [7])[0, 2:9].tolist()]
