@@ -173,6 +173,17 @@ def test_one_task_and_many_fit_the_same_boosted_trees(spark, monkeypatch):
             assert entry[:-1] == other[node][:-1] and entry[-1] == pytest.approx(other[node][-1], abs=1e-9)
 
 
+def test_boosting_runs_all_locked_rounds(spark, sf_dir, monkeypatch):
+    from flowsieve.plans.catalogue import load_catalogue, training_queries
+
+    asked = []
+    monkeypatch.setattr(boosting, "fit_boosted_trees", lambda df, features, rounds=boosting.ROUNDS, **_: (asked.append(rounds), boosting.BoostedTrees(list(features), [[] for _ in features], 0.1))[1])
+    query = load_catalogue()["j13_second_order_boosting"]
+    query.run(spark, sf_dir)
+    assert asked == [boosting.ROUNDS] == [150]
+    assert f"r < {boosting.ROUNDS}" in query.sql and training_queries._all_rounds_sql(2) != query.sql
+
+
 def test_many_rounds_are_few_jobs(spark):
     df = frame(spark, rows_of(300, 8)).persist()
     spark.sparkContext.setJobGroup("boosting", "boosting")
